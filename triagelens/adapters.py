@@ -259,3 +259,63 @@ def passage_requests(spark: SparkSession, sf_dir: str, tenants: int = 20) -> Dat
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
+
+
+# -- operations logs --------------------------------------------------------
+
+CONTROL_TYPES = [
+    "incident_endpoint_verification", "oncall_schedule_audit", "secret_rotation", "access_review", "incident_drill",
+    "rollback_drill", "load_test", "soak_test", "failure_test",
+]
+WATCHED_ALERTS = ["DecisionApiHighErrorRate", "DecisionApiHighLatencyP95", "ModelServingHighErrorRate"]
+
+
+def _pick(names: list, key) -> "F.Column":
+    return F.get(F.array(*[F.lit(n) for n in names]), (key % len(names)).cast("int"))
+
+
+def rollout_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("event_id"),
+        F.col("o_orderdate").cast("date").alias("eval_date"),
+        F.when(F.col("o_orderstatus") == "P", "promote").when(F.col("o_orderstatus") == "F", "rollback")
+        .otherwise("hold").alias("action"),
+        (F.col("o_custkey") % 2 == 0).alias("apply_change"),
+        _pick([5, 25, 50, 100], F.col("o_orderkey")).alias("target_percent"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+
+
+def calibration_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("run_id"),
+        _pick(["routing_temperature", "escalation_platt"], F.col("o_orderkey")).alias("run_scope"),
+        F.when(F.col("o_custkey") % 5 == 0, "challenger").otherwise("primary").alias("model_variant"),
+        F.col("o_custkey").alias("sample_size"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+
+
+def control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("event_id"),
+        _pick(CONTROL_TYPES, F.col("o_custkey")).alias("control_type"),
+        F.when(F.col("o_orderstatus") == "F", "fail").otherwise("pass").alias("status"),
+        F.lit("global").alias("control_scope"),
+        F.col("o_orderdate").cast("timestamp").alias("performed_at"),
+        F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("performed_by"),
+        F.concat(F.lit("evidence/"), F.col("o_orderkey").cast("string")).alias("evidence_uri"),
+        F.when(F.col("o_orderkey") % 2 == 0, '{"mode":" Live "}').otherwise('{"mode":"dry_run"}').alias("details"),
+    )
+
+
+def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        _pick(WATCHED_ALERTS, F.col("o_custkey")).alias("alert_name"),
+        F.col("o_orderdate").cast("date").alias("day"),
+        (F.col("o_totalprice") > 499000).alias("firing"),
+    )

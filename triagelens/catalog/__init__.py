@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation"]
+AREAS = ["evaluation", "rollout"]
 
 
 def _modules():

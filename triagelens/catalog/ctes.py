@@ -97,6 +97,24 @@ CTES: dict[str, str] = {
  SELECT 'doc_' || doc_id AS chunk_id, source AS tenant_id, lang AS section, 'd' || doc_id AS doc_id,
   CASE WHEN doc_id % 3 = 0 THEN 'runbook' ELSE 'external' END AS source,
   DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER) AS updated_at, text AS text_content FROM documents""",
+    "roll_events": """
+ SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS eval_date,
+  CASE o_orderstatus WHEN 'P' THEN 'promote' WHEN 'F' THEN 'rollback' ELSE 'hold' END AS action,
+  o_custkey % 2 = 0 AS apply_change, ([5, 25, 50, 100])[o_orderkey % 4 + 1] AS target_percent, o_orderdate AS created_at
+ FROM orders""",
+    "cal_runs": """
+ SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN 'routing_temperature' ELSE 'escalation_platt' END AS run_scope,
+  CASE WHEN o_custkey % 5 = 0 THEN 'challenger' ELSE 'primary' END AS model_variant, o_custkey AS sample_size,
+  o_orderdate AS created_at FROM orders""",
+    "ctl_events": """
+ SELECT o_orderkey AS event_id, (['incident_endpoint_verification', 'oncall_schedule_audit', 'secret_rotation',
+   'access_review', 'incident_drill', 'rollback_drill', 'load_test', 'soak_test', 'failure_test'])[o_custkey % 9 + 1] AS control_type,
+  CASE WHEN o_orderstatus = 'F' THEN 'fail' ELSE 'pass' END AS status, 'global' AS control_scope, o_orderdate AS performed_at,
+  'cust' || o_custkey AS performed_by, 'evidence/' || o_orderkey AS evidence_uri,
+  CASE WHEN o_orderkey % 2 = 0 THEN '{"mode":" Live "}' ELSE '{"mode":"dry_run"}' END AS details FROM orders""",
+    "alert_days": """
+ SELECT (['DecisionApiHighErrorRate', 'DecisionApiHighLatencyP95', 'ModelServingHighErrorRate'])[o_custkey % 3 + 1] AS alert_name,
+  CAST(o_orderdate AS DATE) AS day, o_totalprice > 499000 AS firing FROM orders""",
     "passages": """
  SELECT 'q-' || item_id || '-' || t AS request_id, 'src' || t AS tenant_id,
   CASE WHEN t % 2 = 0 THEN 'en' END AS section, text AS issue_text,
@@ -135,6 +153,8 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
         return body
     head = ",\n".join(f"{n} AS ({pool[n]})" for n in needed)
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {head},\n{stripped[5:]}"
     return f"WITH {head}\n{stripped}"
