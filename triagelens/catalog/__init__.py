@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "rollout"]
+AREAS = ["evaluation", "rollout", "texts"]
 
 
 def _modules():
