@@ -129,6 +129,11 @@ def ece_bin(conf: str) -> str:
     return f"CASE WHEN {c} < 0 THEN 0 WHEN {c} >= 1 THEN 11 ELSE CAST(floor({c} * 10) AS INTEGER) + 1 END"
 
 
+def r4(expr: str) -> str:
+    """Four decimals from the shortest decimal form, not from scaled binary."""
+    return f"round(CAST({expr} AS DECIMAL(30, 18)), 4)::DOUBLE"
+
+
 def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with every named CTE it (transitively) mentions.
 

@@ -12,7 +12,7 @@ from ..functions import quality as Q
 from ..functions import safety as P
 from ..functions import text as X
 from ..operators import corpus as K
-from .ctes import with_ctes
+from .ctes import r4, with_ctes
 from .shape import shaped
 
 QUERIES: dict = {}
@@ -108,7 +108,7 @@ LOCAL: dict[str, str] = {
     "chat_seq": "SELECT * EXCLUDE (rn), row_number() OVER (ORDER BY conv_id, turn) AS seq FROM chat_dedup",
     "recent_turns": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
   FROM conversations) WHERE rn <= 8""",
-    "answers": f"""SELECT conv_id, turn, customer_text, agent_text, {plain_sql('agent_text')} AS at, {plain_sql('customer_text')} AS qt,
+    "answers": f"""SELECT conv_id, turn, customer_text, agent_text, {plain_sql('agent_text')} AS atok, {plain_sql('customer_text')} AS qt,
   {plain_sql("customer_text || ' ' || split_part(agent_text, '.', 1)")} AS et FROM chat_pairs""",
 }
 
@@ -377,15 +377,14 @@ def answers(spark, d):
     return pairs(spark, d).select("conv_id", "turn", "customer_text", "agent_text", F.array(lead).alias("evidence"))
 
 
-_AG = f"list_distinct({grams_sql('at', 2)} || {grams_sql('at', 3)})"
+_AG = f"list_distinct({grams_sql('atok', 2)} || {grams_sql('atok', 3)})"
 _EG = f"list_distinct({grams_sql('et', 2)} || {grams_sql('et', 3)})"
-_LONG = "list_filter(at, lambda t: length(t) > 3)"
+_LONG = "list_filter(atok, lambda t: length(t) > 3)"
 _EV = "list_filter(et, lambda t: length(t) > 3)"
 _COV = """CASE WHEN len(s) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(s, lambda x: regexp_matches(x, '\\[[\\p{L}\\p{N}_\\-]+\\]')))::DOUBLE / len(s), 4) END"""
 LOCAL["quality"] = f"""SELECT conv_id, turn,
- CASE WHEN len(at) < 3 THEN 1.0::DOUBLE WHEN len({_EG}) = 0 THEN 0.0::DOUBLE ELSE round({inter(_AG, _EG)}::DOUBLE / len({_AG}), 4) END AS faithfulness,
- CASE WHEN len(at) = 0 OR len(qt) = 0 THEN 0.0::DOUBLE ELSE round({inter('at', 'qt')}::DOUBLE / greatest(len(list_distinct(qt)), 1) * 0.6::DOUBLE
-  + {inter(grams_sql('at', 2), grams_sql('qt', 2))}::DOUBLE / greatest(len({grams_sql('qt', 2)}), 1) * 0.4::DOUBLE, 4) END AS relevance,
+ CASE WHEN len(atok) < 3 THEN 1.0::DOUBLE WHEN len({_EG}) = 0 THEN 0.0::DOUBLE ELSE round({inter(_AG, _EG)}::DOUBLE / len({_AG}), 4) END AS faithfulness,
+ CASE WHEN len(atok) = 0 OR len(qt) = 0 THEN 0.0::DOUBLE ELSE {r4(f"{inter('atok', 'qt')}::DOUBLE / greatest(len(list_distinct(qt)), 1) * 0.6::DOUBLE + {inter(grams_sql('atok', 2), grams_sql('qt', 2))}::DOUBLE / greatest(len({grams_sql('qt', 2)}), 1) * 0.4::DOUBLE")} END AS relevance,
  {_COV} AS citation_coverage,
  CASE WHEN len({_LONG}) = 0 THEN 0.0::DOUBLE WHEN len({_EV}) = 0 THEN 1.0::DOUBLE
   ELSE round(len(list_filter({_LONG}, lambda t: NOT list_contains(et, t)))::DOUBLE / len({_LONG}), 4) END AS hallucination_ratio
