@@ -7,7 +7,7 @@ filters on dates and tenants still reach the Parquet scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -319,3 +319,41 @@ def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("day"),
         (F.col("o_totalprice") > 499000).alias("firing"),
     )
+
+
+PHRASES = [
+    "I was charged twice and want a refund, please help.", "My password reset failed and the account is locked.",
+    "Where is my order? The shipping delay is unacceptable.", "The app shows an error and will crash, urgent bug.",
+    "There was fraud on my account, this is a legal threat.", "How to update profile information?", "",
+]
+
+
+def support_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with a support phrase in front, as requests of 20 tenants."""
+    t = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    k = F.col("conv_id") + F.col("turn")
+    return t.select(
+        F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
+        F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("tenant_id"),
+        F.when(F.col("conv_id") % 2 == 0, _pick(["en", "fr", "xx"], F.col("conv_id"))).alias("section"),
+        F.concat_ws(" ", F.nullif(_pick(PHRASES, k), F.lit("")), F.col("text")).alias("issue_text"),
+        _pick(["low", "medium", "high"], F.col("conv_id")).alias("risk_level"),
+    )
+
+
+def simple_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence arrays from a conversation's own first five assistant turns."""
+    t = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    a = t.filter(F.col("role") == "assistant").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5)
+    item = F.struct(
+        "rank", F.concat_ws("_", F.lit("doc"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"),
+        F.concat(F.lit("d"), F.col("conv_id").cast("string")).alias("doc_id"),
+        F.round(F.lit(0.95) / F.col("rank"), 4).alias("score"),
+        F.when(F.col("turn") % 4 == 1, "internal_wiki").otherwise("runbook").alias("source"),
+        F.lit("en").alias("section"),
+        F.concat(F.col("text"), F.when(F.col("conv_id") % 3 == 0, " No refund, working as expected.").otherwise("")).alias("text"))
+    per = a.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    users = t.filter(F.col("role") == "user").select("conv_id", "turn")
+    return users.join(per, "conv_id").select(
+        F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), "evidence")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..adapters import PHRASES
+
 _LINE_ID = (
     "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
     "CAST(CAST(l_shipdate AS DATE) AS VARCHAR))"
@@ -15,7 +17,14 @@ def _section(k: str) -> str:
     return f"CASE WHEN {k} % 4 <> 0 THEN 's' || ({k} % 4) END"
 
 
+_PHRASES = "([" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + "])"
+
 CTES: dict[str, str] = {
+    "sup_requests": f"""
+ SELECT 'c-' || conv_id || '-' || turn AS request_id, 'src' || (conv_id % 20) AS tenant_id,
+  CASE WHEN conv_id % 2 = 0 THEN (['en', 'fr', 'xx'])[conv_id % 3 + 1] END AS section,
+  concat_ws(' ', nullif({_PHRASES}[(conv_id + turn) % {len(PHRASES)} + 1], ''), text) AS issue_text,
+  (['low', 'medium', 'high'])[conv_id % 3 + 1] AS risk_level FROM conversations WHERE role = 'user'""",
     "eval_ds": f"""
  SELECT CAST(l_shipdate AS DATE) AS eval_date, {_LINE_ID} AS request_id,
   't' || (l_suppkey % 5) AS tenant_id, {_section('l_partkey')} AS section,
@@ -159,7 +168,8 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     head = ",\n".join(f"{n} AS ({pool[n]})" for n in needed)
     stripped = body.lstrip()
     if stripped[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {head},\n{stripped[15:]}"
+        rest = stripped[15:].lstrip()
+        return f"WITH RECURSIVE {head}{' ' if rest[:6].upper() == 'SELECT' else ','}\n{rest}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {head},\n{stripped[5:]}"
     return f"WITH {head}\n{stripped}"
