@@ -12,6 +12,7 @@ from ..functions import scoring as S
 from ..operators import replay as RP
 from ..operators import retrieval as R
 from ..plans import decide as D
+from ..session import stage
 from . import texts as TX
 from .ctes import r4, with_ctes
 from .shape import shaped
@@ -123,12 +124,11 @@ def _q(spark, d):
 
 
 @register("hash_embedding", """SELECT chunk_id, round(sum(CASE WHEN b.i % 2 = 0 THEN b.w ELSE -b.w END), 6) + 0.0 AS folded,
- round(coalesce(max(b.w), 0), 6) AS top, count(b.i) AS used FROM chunks LEFT JOIN chunk_emb b ON b.k = chunk_id GROUP BY 1""")
+ round(greatest(0, coalesce(max(b.w), 0)), 6) AS top, count(CASE WHEN abs(b.w) > 1e-9 THEN 1 END) AS used FROM chunks LEFT JOIN chunk_emb b ON b.k = chunk_id GROUP BY 1""")
 def _q(spark, d):
     e = M.embed(A.doc_chunks(spark, d), ["chunk_id"], "text_content")
     folded = F.aggregate(F.transform("embedding", lambda v, i: F.when(i % 2 == 0, v).otherwise(-v)), F.lit(0.0), lambda a, v: a + v)
-    used = F.size(F.filter("embedding", lambda v: v != 0))
-    # Positions whose weights cancel to zero keep their slot in the other form.
+    used = F.size(F.filter("embedding", lambda v: F.abs(v) > 1e-9))
     return e.select("chunk_id", folded.alias("folded"), F.greatest(F.lit(0.0), F.array_max("embedding")).alias("top"), used.alias("used"))
 
 
@@ -215,15 +215,15 @@ def _q(spark, d):
 
 @register("near_dup_greedy", "WITH RECURSIVE SELECT request_id, rank, chunk_id, round(score, 6) AS score FROM thinned")
 def _q(spark, d):
-    texts = A.doc_chunks(spark, d).select("chunk_id", "text_content")
-    return R.near_dup_greedy(_fused(spark, d).join(texts, "chunk_id")).select("request_id", "rank", "chunk_id", "score")
+    words = R.chunk_words(A.doc_chunks(spark, d))
+    return R.near_dup_greedy(_fused(spark, d).join(words, "chunk_id")).select("request_id", "rank", "chunk_id", "score")
 
 
 @register("rerank", "WITH RECURSIVE SELECT request_id, rank, chunk_id, round(score, 6) AS score FROM reranked")
 def _q(spark, d):
-    texts = A.doc_chunks(spark, d).select("chunk_id", "text_content")
-    e = R.near_dup_greedy(_fused(spark, d).withColumn("score", F.round("score", 4)).join(texts, "chunk_id"))
-    asked = A.passage_requests(spark, d).select("request_id", "issue_text")
+    words = R.chunk_words(A.doc_chunks(spark, d))
+    e = R.near_dup_greedy(_fused(spark, d).withColumn("score", F.round("score", 4)).join(words, "chunk_id"))
+    asked = R.request_words(A.passage_requests(spark, d))
     return R.rerank(e.join(asked, "request_id"), 5).select("request_id", "rank", "chunk_id", "score")
 
 
@@ -379,7 +379,7 @@ LOCAL["sup_decided"] = """SELECT *, CASE WHEN no_ev THEN list_append(reasons, 'g
 
 
 def scored(spark, d):
-    return D.score_requests(A.support_requests(spark, d), A.simple_packs(spark, d), CFG)
+    return stage(D.score_requests(A.support_requests(spark, d), A.simple_packs(spark, d), CFG), "scored")
 
 
 @register("token_weights_join", """SELECT request_id, label, round(sum(wt), 6) AS weight FROM (

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.scoring import let
+from ..session import shuffle_width
 
 # Fusion and rerank constants.
 RRF_K = 60
@@ -47,8 +49,9 @@ def candidate_scope(requests: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def _scoped_chunks(chunks: DataFrame) -> DataFrame:
     """Every chunk under its own section and under the whole-tenant scope."""
-    scopes = F.array(F.struct(F.col("section").alias("scope")), F.struct(F.lit(None).cast("string").alias("scope")))
-    return chunks.select("*", F.inline(scopes))
+    own = F.when(F.col("section").isNotNull(), F.struct(F.col("section").alias("scope")))
+    whole = F.struct(F.lit(None).cast("string").alias("scope"))
+    return chunks.select("*", F.inline(F.array_compact(F.array(own, whole))))
 
 
 def _scope_key(scope: Column) -> Column:
@@ -155,10 +158,11 @@ def block_search(requests: DataFrame, chunks: DataFrame, payload: str, k: int, s
 
     q_cols = [F.col(x) for x in group] + [F.col("request_id"), F.col(f"q_{payload}")]
     extra = [x for x in c.columns if x in ("section", "bonus")]
+    width = shuffle_width(requests.sparkSession)
     c_cols = [F.col(x) for x in group] + [F.col("chunk_id"), F.col(f"c_{payload}")] + [F.col(x) for x in extra]
     found = (
-        q.select(*q_cols).groupBy(*group)
-        .cogroup(c.select(*c_cols).groupBy(*group))
+        q.select(*q_cols).repartition(width, *group).groupBy(*group)
+        .cogroup(c.select(*c_cols).repartition(width, *group).groupBy(*group))
         .applyInPandas(best, schema)
     )
     return top_k(found, k, "score")
@@ -268,19 +272,38 @@ def rrf_fuse(sparse: DataFrame, dense: DataFrame, k: int, rrf_k: int = RRF_K) ->
     return top_k(fused.withColumn("score", F.round(F.col("rrf") / best, 9)).drop("rrf"), k, "score")
 
 
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """Token and n-gram lists per chunk, so that each chunk is prepared once
+    however many requests it is evidence for. N-grams are kept as 64-bit hashes."""
+    w = chunks.select("chunk_id", X.tokenize(F.col("text_content")).alias("words"))
+    return w.select("*", _gram_hashes(F.col("words"), 2).alias("g2"), _gram_hashes(F.col("words"), 3).alias("g3"))
+
+
+def request_words(requests: DataFrame) -> DataFrame:
+    w = requests.select("request_id", X.tokenize(F.col("issue_text")).alias("q_words"))
+    return w.select("*", _gram_hashes(F.col("q_words"), 2).alias("q_g2"), _gram_hashes(F.col("q_words"), 3).alias("q_g3"))
+
+
+def _gram_hashes(words: Column, n: int) -> Column:
+    return F.transform(X.word_ngrams(words, n), lambda g: F.xxhash64(g))
+
+
 def near_dup_greedy(evidence: DataFrame, threshold: float = DEDUP_THRESHOLD) -> DataFrame:
     """Drop evidence too close to better evidence of the same request.
 
     Works per request on its short ranked list (at most the oversampled top-k).
-    ``evidence`` has request_id, rank and text_content.
+    ``evidence`` has request_id, rank and words.
     """
     limit = max(0.5, min(0.99, threshold))
-    item = F.struct("rank", X.unique_terms(F.col("text_content")).alias("terms"))
+    evidence = evidence.repartition(shuffle_width(evidence.sparkSession), "request_id")
+    item = F.struct("rank", F.array_distinct("words").alias("terms"))
     lists = evidence.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def close(a: Column, b: Column) -> Column:
-        both = F.size(F.array_intersect(a, b))
-        return (F.size(a) > 0) & (F.size(b) > 0) & (both / F.greatest(F.size(a), F.size(b)) >= limit)
+        larger, smaller = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
+        # The overlap cannot exceed the smaller set: skip hopeless pairs.
+        possible = (smaller > 0) & (smaller / larger >= limit)
+        return possible & (F.size(F.array_intersect(a, b)) / larger >= limit)
 
     kept = F.aggregate(
         "items", F.array().cast("array<struct<rank:int,terms:array<string>>>"),
@@ -293,31 +316,34 @@ def near_dup_greedy(evidence: DataFrame, threshold: float = DEDUP_THRESHOLD) ->
 def rerank(evidence: DataFrame, k: int) -> DataFrame:
     """Score query/evidence pairs by damped overlap, n-grams and prior score.
 
-    ``evidence`` has request_id, chunk_id, issue_text, text_content, score.
+    ``evidence`` has request_id, chunk_id, score and the columns of
+    ``request_words`` and ``chunk_words``.
     """
-    e = evidence.withColumn("_q", X.tokenize(F.col("issue_text"))).withColumn("_d", X.tokenize(F.col("text_content")))
-    e = e.withColumns({"_qn": F.array_distinct("_q"), "_dn": F.array_distinct("_d")})
-    # Counts only for the few words query and chunk share.
-    e = e.withColumn("_common", F.array_intersect("_qn", "_dn"))
-    e = e.withColumns({
-        "_qs": F.filter("_q", lambda t: F.array_contains(F.col("_common"), t)),
-        "_ds": F.filter("_d", lambda t: F.array_contains(F.col("_common"), t))})
-
-    def count(words: str, t: Column) -> Column:
-        return F.size(F.filter(words, lambda w: w == t))
-
-    pairs = F.transform("_common", lambda t: F.struct(count("_qs", t).alias("q"), count("_ds", t).alias("d")))
-    damped = F.aggregate(
-        pairs, F.lit(0.0),
-        lambda acc, p: acc + F.least(p["q"], p["d"]) * (F.lit(1.0) / (F.lit(1.0) + F.log1p(p["d"].cast("double")))))
-    token = damped / F.greatest(F.lit(1.0), F.size("_q").cast("double"))
-
-    def share(n: int) -> Column:
-        a, b = X.word_ngrams(F.col("_q"), n), X.word_ngrams(F.col("_d"), n)
-        return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
-
-    ce = token * 0.30 + share(2) * 0.25 + share(3) * 0.15 + F.col("score") * 0.30
-    scored = e.withColumn("score", F.round(ce, 9)).drop("_q", "_d", "_qn", "_dn", "_common", "_qs", "_ds", "rank")
+
+    def token_score(x: Column) -> Column:
+        q, d = x["q"], x["d"]
+
+        def count(words: Column, t: Column) -> Column:
+            return F.size(F.filter(words, lambda w: w == t)).cast("double")
+
+        def damped(y: Column) -> Column:
+            # Only the words both sides share are counted.
+            qs = F.filter(q, lambda t: F.array_contains(y, t))
+            ds = F.filter(d, lambda t: F.array_contains(y, t))
+            counts = let(F.struct(qs.alias("q"), ds.alias("d")), lambda z: F.transform(
+                y, lambda t: F.struct(count(z["q"], t).alias("q"), count(z["d"], t).alias("d"))))
+            return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + F.least(c["q"], c["d"])
+                               * (F.lit(1.0) / (F.lit(1.0) + F.log1p(c["d"]))))
+
+        return let(F.array_intersect(q, d), damped) / F.greatest(F.lit(1.0), F.size(q).cast("double"))
+
+    def share(a: str, b: str) -> Column:
+        return F.size(F.array_intersect(b, a)) / F.greatest(F.size(a), F.lit(1))
+
+    evidence = evidence.repartition(shuffle_width(evidence.sparkSession), "request_id")
+    token = let(F.struct(F.col("q_words").alias("q"), F.col("words").alias("d")), token_score)
+    ce = token * 0.30 + share("q_g2", "g2") * 0.25 + share("q_g3", "g3") * 0.15 + F.col("score") * 0.30
+    scored = evidence.withColumn("score", F.round(ce, 9)).drop("rank", "q_words", "words", "g2", "g3", "q_g2", "q_g3")
     return top_k(scored, k, "score").withColumn("score", F.round("score", 4))
 
 

@@ -13,6 +13,7 @@ from ..functions import quality as Q
 from ..functions import safety as P
 from ..functions import scoring as S
 from ..operators import retrieval as R
+from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -45,13 +46,17 @@ def retrieve_batch(requests: DataFrame, chunks: DataFrame, cfg: DecideConfig) ->
         .drop("text_content"), wide)
     fused = R.rrf_fuse(sparse, dense, cfg.top_k * R.OVERSAMPLE).withColumn("score", F.round("score", 4))
     body = chunks.select("chunk_id", "doc_id", "source", "updated_at", F.col("section").alias("chunk_section"), "text_content")
-    listed = fused.join(body, "chunk_id")
-    thinned = R.near_dup_greedy(listed).join(requests.select("request_id", "issue_text"), "request_id")
-    hybrid = R.stale_penalty(R.rerank(thinned, cfg.top_k), cfg.as_of, cfg.stale_days).drop("issue_text")
+    words = R.chunk_words(chunks)
+    asked = R.request_words(requests)
+    thinned = R.near_dup_greedy(fused.join(words, "chunk_id")).join(asked, "request_id")
+    # Read twice below; written once, it is top_k short rows per request.
+    hybrid = stage(R.rerank(thinned, cfg.top_k), "hybrid")
     empty = scoped.join(hybrid.select("request_id"), "request_id", "left_anti")
-    lexical = R.near_dup_greedy(
-        R.lexical_search(empty, chunks, cfg.as_of, cfg.top_k).withColumn("score", F.round("score", 4)).join(body, "chunk_id"))
-    return hybrid.unionByName(lexical)
+    found = R.lexical_search(empty, chunks, cfg.as_of, cfg.top_k).withColumn("score", F.round("score", 4))
+    lexical = R.near_dup_greedy(found.join(words, "chunk_id")).drop("words", "g2", "g3")
+    # Only the final top_k ids fetch their texts.
+    best = R.stale_penalty(hybrid.join(body, "chunk_id"), cfg.as_of, cfg.stale_days)
+    return best.unionByName(lexical.join(body, "chunk_id"))
 
 
 def evidence_packs(evidence: DataFrame) -> DataFrame:
@@ -152,8 +157,10 @@ def decide_batch(requests: DataFrame, chunks: DataFrame, cfg: DecideConfig) -> d
     scanned = P.scan_injection(P.redact_pii(requests, "issue_text"), "issue_text", sanitize=False)
     flagged = scanned.withColumn("pii_redacted", F.col("redacted_count") > 0).withColumnRenamed("risk_score", "injection_risk")
     evidence = P.evidence_filter(retrieve_batch(requests, chunks, cfg))
-    scored = score_requests(requests, evidence_packs(evidence), cfg)
-    decided = decide(scored).join(flagged.select("request_id", "pii_redacted", "injection_risk"), "request_id")
+    # Both are read by several outputs: written once to the shared folder.
+    scored = stage(score_requests(requests, evidence_packs(evidence), cfg), "scored")
+    decided = stage(
+        decide(scored).join(flagged.select("request_id", "pii_redacted", "injection_risk"), "request_id"), "decided")
     draft = P.validate_output(
         Q.answer_quality(
             decided.filter(F.col("draft").isNotNull()).withColumn("_texts", F.transform("evidence", lambda e: e["text"])),

@@ -68,3 +68,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the cluster has cores.
+
+    For CPU-heavy text work on few large files. A table with many splits comes
+    back unchanged, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Partition count for steps that are heavy on CPU but light on bytes.
+
+    Given explicitly, it keeps adaptive execution from merging them by size.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
