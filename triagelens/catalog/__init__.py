@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "rollout", "texts", "decisions"]
+AREAS = ["evaluation", "rollout", "texts", "decisions", "operations", "streams"]
 
 
 def _modules():

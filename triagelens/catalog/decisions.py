@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None, digits: int = 6):
     def wrap(fn):
         QUERIES[name] = lambda spark, sf_dir: shaped(fn(spark, sf_dir), digits)
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, LOCAL)
+            ORACLES[name] = with_ctes(sql, {**TX.LOCAL, **LOCAL})
         return fn
 
     return wrap
