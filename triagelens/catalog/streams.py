@@ -22,9 +22,11 @@ ORACLES: dict[str, str] = {}
 DELAY = "10 minutes"
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, digits: int = 6):
+    """Means of two-decimal values often end on a 5 at the seventh place; those
+    queries compare at nine digits instead."""
     def wrap(fn):
-        QUERIES[name] = lambda spark, sf_dir: shaped(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: shaped(fn(spark, sf_dir), digits)
         if sql is not None:
             ORACLES[name] = with_ctes(sql, {**OPS, **LOCAL})
         return fn
@@ -91,7 +93,7 @@ def _q(spark, d):
 _HOUR = ["error_rate", "abstain_rate", "escalation_rate", "injection_block_rate", "guardrail_rate", "token_mean", "confidence_mean"]
 
 
-@register("st_outcome_rates", f"SELECT {_STAMP}, service, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in _HOUR) + " FROM hour_rates")
+@register("st_outcome_rates", f"SELECT {_STAMP}, service, n, " + ", ".join(f"round({c}, 9) AS {c}" for c in _HOUR) + " FROM hour_rates", digits=9)
 def hour_rates(spark, d):
     t = SL.run_available(SL.window_sums(_events(spark, d), "1 hour", "5 minutes", watermark=DELAY), "outcomes")
     return SL.rates(t, 3600).select("window_end", "service", "n", *_HOUR)
@@ -102,9 +104,9 @@ def _over(c: str, s: int) -> str:
     return f"((sum({c}) {w} / {s}::DOUBLE) / greatest(sum(n) {w} / {s}::DOUBLE, 0.001::DOUBLE))"
 
 
-@register("st_input_confidence_drift", f"""SELECT {_STAMP}, service, round(abs(ts - tl) / greatest(tl, 1.0::DOUBLE), 6) AS input_drift, round(abs(cs - cl), 6) AS confidence_drift,
- round(abs(es - el), 6) AS outcome_drift FROM (SELECT window_end, service, {_over('tokens', 3600)} AS ts, {_over('tokens', 86400)} AS tl, {_over('confidence', 3600)} AS cs,
- {_over('confidence', 86400)} AS cl, {_over('escalated', 3600)} AS es, {_over('escalated', 86400)} AS el FROM ({_windows(300, 300)}))""")
+@register("st_input_confidence_drift", f"""SELECT {_STAMP}, service, round(abs(ts - tl) / greatest(tl, 1.0::DOUBLE), 9) AS input_drift, round(abs(cs - cl), 9) AS confidence_drift,
+ round(abs(es - el), 9) AS outcome_drift FROM (SELECT window_end, service, {_over('tokens', 3600)} AS ts, {_over('tokens', 86400)} AS tl, {_over('confidence', 3600)} AS cs,
+ {_over('confidence', 86400)} AS cl, {_over('escalated', 3600)} AS es, {_over('escalated', 86400)} AS el FROM ({_windows(300, 300)}))""", digits=9)
 def _q(spark, d):
     return SL.drift_from_partials(SL.run_available(SL.partial_sums(_events(spark, d), "5 minutes", DELAY), "partials"))
 
