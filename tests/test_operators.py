@@ -62,10 +62,10 @@ def test_empty_fits(spark):
     assert tuple(C.fit_platt(empty).first()[:2]) == (1.0, 0.0)
 
 
-def test_recursive_duplicates(spark):
+def test_near_duplicates(spark):
     rows = [("q", 1, "a b c d e f g h i j".split()), ("q", 2, "a b c d e f g h i k".split()), ("q", 3, "x y z".split()), ("r", 1, "a b".split())]
     df = spark.createDataFrame(rows, "request_id string, rank int, words array<string>")
-    kept = sorted((r["request_id"], r["rank"]) for r in R.near_dup_greedy(df, 0.85).collect())
+    kept = sorted((r["request_id"], r["rank"]) for r in R.near_dup_greedy(df, 0.95).collect())
     assert kept == [("q", 1), ("q", 2), ("q", 3), ("r", 1)]
     kept = sorted((r["request_id"], r["rank"]) for r in R.near_dup_greedy(df, 0.8).collect())
     assert kept == [("q", 1), ("q", 3), ("r", 1)]
