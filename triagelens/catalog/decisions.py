@@ -255,7 +255,7 @@ def _share(a: str, b: str) -> str:
     return f"coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(greatest(len({a}), len({b})), 0), 0)"
 
 
-@register("lexical_search", f"""SELECT request_id, chunk_id, round(score, 6) AS score, rank FROM (
+@register("lexical_search", f"""SELECT request_id, chunk_id, round(score, 9) AS score, rank FROM (
  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS rank FROM (
  SELECT request_id, chunk_id, round(CASE WHEN s <= 0 THEN 0.01 ELSE least(1.0::DOUBLE, s) END, 9) AS score FROM (
  SELECT p.request_id, c.chunk_id, coalesce(n.s / nullif(sqrt(ps.s * cs.s), 0), 0) * 0.68::DOUBLE + {_share('pg.g2', 'cg.g2')} * 0.16::DOUBLE
@@ -267,7 +267,7 @@ def _share(a: str, b: str) -> str:
  JOIN pass_grams pg ON pg.request_id = p.request_id JOIN chunk_grams cg ON cg.chunk_id = c.chunk_id
  JOIN pass_cg pc ON pc.request_id = p.request_id JOIN chunk_cg cc ON cc.chunk_id = c.chunk_id
  LEFT JOIN pass_sq ps ON ps.request_id = p.request_id LEFT JOIN chunk_sq cs ON cs.chunk_id = c.chunk_id
- LEFT JOIN lex_num n ON n.request_id = p.request_id AND n.chunk_id = c.chunk_id))) WHERE rank <= 5""")
+ LEFT JOIN lex_num n ON n.request_id = p.request_id AND n.chunk_id = c.chunk_id))) WHERE rank <= 5""", digits=9)
 def _q(spark, d):
     return R.lexical_search(scoped(spark, d), A.doc_chunks(spark, d), AS_OF, 5)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import text as X
+from ..functions.scoring import let
 
 
 def turn_pairs(turns: DataFrame, source: str = "abcd", channel: str = "chat") -> DataFrame:
@@ -86,14 +87,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def dedupe_pairs(pairs: DataFrame, order: list[str]) -> DataFrame:
     """First pair per normalized (customer, agent) text; empty keys drop out.
 
-    Keys are carried as 128-bit-plus digests instead of the texts themselves.
+    Keys are carried as digests instead of the texts themselves. Whether a key
+    is empty is looked up after the grouping: a filter before it would be
+    pushed down and normalize every text once more.
     """
-    k1, k2 = X.normalize_text(F.col("customer_text")), X.normalize_text(F.col("agent_text"))
-    keyed = pairs.withColumn("k1", k1).withColumn("k2", k2).filter((F.col("k1") != "") & (F.col("k2") != ""))
-    keyed = keyed.withColumn("pair_key", F.sha2(F.concat_ws("\u0001", "k1", "k2"), 256)).drop("k1", "k2")
-    smallest = keyed.groupBy("pair_key").agg(
-        F.min_by(F.struct(*pairs.columns), F.struct(*order)).alias("row"))
-    return smallest.select("row.*")
+    both = F.struct(X.normalize_text(F.col("customer_text")).alias("c"), X.normalize_text(F.col("agent_text")).alias("a"))
+    key = let(both, lambda k: F.when((k["c"] != "") & (k["a"] != ""), F.sha2(F.concat_ws("\u0001", k["c"], k["a"]), 256)).otherwise(""))
+    smallest = pairs.withColumn("pair_key", key).groupBy("pair_key").agg(
+        F.min_by(F.struct(*pairs.columns), F.struct(*order)).alias("row"), F.max(F.length("pair_key") > 0).alias("usable"))
+    return smallest.filter("usable").select("row.*")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
