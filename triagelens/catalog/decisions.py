@@ -132,12 +132,12 @@ def _q(spark, d):
     return e.select("chunk_id", folded.alias("folded"), F.greatest(F.lit(0.0), F.array_max("embedding")).alias("top"), used.alias("used"))
 
 
-@register("sparse_search", "SELECT request_id, chunk_id, round(score, 6) AS sparse_score, rank FROM sparse_all WHERE rank <= 15")
+@register("sparse_search", "SELECT request_id, chunk_id, round(score, 9) AS sparse_score, rank FROM sparse_all WHERE rank <= 15", digits=9)
 def _q(spark, d):
     return R.sparse_search(scoped(spark, d), R.inverted_index(A.doc_chunks(spark, d)), 15)
 
 
-@register("dense_search", "SELECT request_id, chunk_id, round(score, 6) AS dense_score, rank FROM dense_all WHERE rank <= 15")
+@register("dense_search", "SELECT request_id, chunk_id, round(score, 9) AS dense_score, rank FROM dense_all WHERE rank <= 15", digits=9)
 def _q(spark, d):
     return R.dense_search(D.with_vectors(scoped(spark, d), "request_id", "issue_text", "q_vec"), chunks_vec(spark, d), 15)
 
@@ -160,7 +160,7 @@ _KNN = """SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS
   round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS s FROM embeddings x, embeddings y)"""
 
 
-@register("cosine_topk", f"SELECT a AS request_id, b AS chunk_id, rank, round(s, 6) AS dense_score FROM ({_KNN}) WHERE rank <= 6")
+@register("cosine_topk", f"SELECT a AS request_id, b AS chunk_id, rank, round(s, 9) AS dense_score FROM ({_KNN}) WHERE rank <= 6", digits=9)
 def _q(spark, d):
     return _knn(spark, d)
 
@@ -208,12 +208,12 @@ def _fused(spark, d):
     return R.rrf_fuse(sparse, dense, 15)
 
 
-@register("rrf_fuse", "SELECT request_id, chunk_id, round(score, 6) AS score, rank FROM fused")
+@register("rrf_fuse", "SELECT request_id, chunk_id, round(score, 9) AS score, rank FROM fused", digits=9)
 def _q(spark, d):
     return _fused(spark, d)
 
 
-@register("near_dup_greedy", "WITH RECURSIVE SELECT request_id, rank, chunk_id, round(score, 6) AS score FROM thinned")
+@register("near_dup_greedy", "WITH RECURSIVE SELECT request_id, rank, chunk_id, round(score, 9) AS score FROM thinned", digits=9)
 def _q(spark, d):
     words = R.chunk_words(A.doc_chunks(spark, d))
     return R.near_dup_greedy(_fused(spark, d).join(words, "chunk_id")).select("request_id", "rank", "chunk_id", "score")
