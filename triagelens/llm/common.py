@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelens.session import stage
 
-__all__ = ["buckets_by_id", "by_bucket", "read", "spread_width", "stage", "tokenizer_path"]
+__all__ = ["buckets_by_id", "by_bucket", "keyed", "read", "spread_width", "stage", "tokenizer_path"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,3 +55,20 @@ def buckets_by_id(docs: DataFrame, n: int) -> tuple[Column, int]:
 def by_bucket(df: DataFrame, n: int) -> DataFrame:
     """One partition for each value of ``bucket``."""
     return df.repartitionById(n, F.col("bucket").cast("int"))
+
+
+def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """(key, doc_id, text): an ascending unique long for each row, by doc_id (null first), then text.
+
+    The key is doc_id itself where that is unique and never null; otherwise rows are numbered
+    range by range. A null text is empty. Other columns go, or stay in the struct ``row``.
+    """
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *kept)
+    seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if seen["rows"] == seen["ids"]:
+        return docs.withColumn("key", F.col("doc_id"))
+    bucket, _ = buckets_by_id(docs, spread_width(docs.sparkSession))
+    ranked = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    numbered = docs.withColumn("bucket", bucket.cast("long")).withColumn("nth", F.row_number().over(ranked))
+    return stage(numbered.withColumn("key", F.shiftleft("bucket", 40) + F.col("nth")).drop("bucket", "nth"), "keyed")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from triagelens.llm.debruijn import op5_debruijn_spans
 from triagelens.llm.packing import op3_harmonic_packing
 from triagelens.llm.repair import op1_repair_shards
+from triagelens.llm.suffixes import op10_radix_suffixes
 
 QUERIES = {
     "op1_repair_shards": op1_repair_shards,
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op5_debruijn_spans": op5_debruijn_spans,
+    "op10_radix_suffixes": op10_radix_suffixes,
 }
 ORACLES: dict[str, str] = {}
