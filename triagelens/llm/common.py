@@ -37,19 +37,19 @@ def id_bounds(docs: DataFrame, n: int) -> list[int]:
 def buckets_by_id(docs: DataFrame, n: int) -> tuple[Column, int]:
     """Range number of each row by ascending doc_id (null first, in range 0), and the number of ranges.
 
-    The bounds are compared as a binary search written out as CASE branches.
+    The number is the count of bounds below the id, by binary search in an array literal.
     """
     bounds = id_bounds(docs, n)
     if not bounds:
         return F.lit(0), 1
+    array = F.lit(bounds)
+    steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
 
-    def column(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(bounds[mid]), column(lo, mid)).otherwise(column(mid + 1, hi))
+    def narrowed(found: Column, step: Column) -> Column:
+        to = found + step
+        return F.when((to <= len(bounds)) & (F.try_element_at(array, to) < F.col("doc_id")), to).otherwise(found)
 
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(column(0, len(bounds))), len(bounds) + 1
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), narrowed)), len(bounds) + 1
 
 
 def by_bucket(df: DataFrame, n: int) -> DataFrame:

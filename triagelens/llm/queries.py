@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from triagelens.llm.debruijn import op5_debruijn_spans
+from triagelens.llm.lookup import op4_lookup_placement
 from triagelens.llm.packing import op3_harmonic_packing
 from triagelens.llm.repair import op1_repair_shards
+from triagelens.llm.simhash import op8_simhash_components
 from triagelens.llm.suffixes import op10_radix_suffixes
+from triagelens.llm.weighted import op2_weighted_sampling
 
 QUERIES = {
-    "op1_repair_shards": op1_repair_shards,
-    "op3_harmonic_packing": op3_harmonic_packing,
-    "op5_debruijn_spans": op5_debruijn_spans,
-    "op10_radix_suffixes": op10_radix_suffixes,
+    f.__name__: f
+    for f in (
+        op1_repair_shards, op2_weighted_sampling, op3_harmonic_packing, op4_lookup_placement, op5_debruijn_spans,
+        op8_simhash_components, op10_radix_suffixes,
+    )
 }
 ORACLES: dict[str, str] = {}
