@@ -67,7 +67,8 @@ def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *kept)
     seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if seen["rows"] == seen["ids"]:
-        return docs.withColumn("key", F.col("doc_id"))
+        # said here for every plan alike, so that inner and outer joins can share a shuffle of the texts
+        return docs.where("doc_id is not null").withColumn("key", F.col("doc_id"))
     bucket, _ = buckets_by_id(docs, spread_width(docs.sparkSession))
     ranked = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     numbered = docs.withColumn("bucket", bucket.cast("long")).withColumn("nth", F.row_number().over(ranked))

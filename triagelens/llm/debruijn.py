@@ -24,7 +24,7 @@ LENGTH = 20
 
 
 def shape_of(length: int) -> Shape:
-    return Shape(length, max(1, length * 3 // 10), True)
+    return Shape(length, tuple(sorted({max(1, length // 4), max(1, length * 17 // 20)})), True)
 
 
 def repeated_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:

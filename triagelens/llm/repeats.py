@@ -2,15 +2,15 @@
 
 Windows are ``length`` consecutive units (bytes or words) of one document. Every window names
 its anchor: the least hashed gram of ``gram`` units in it. Neighbouring windows with one anchor
-form a path, about ``length - gram`` windows long, whose ends depend on its content alone. So
-equal windows lie in paths with equal anchors, and paths of equal content hold equal windows.
+form a path, about ``length - gram`` windows long. Equal windows lie in paths with equal anchors,
+and paths of equal content hold equal windows.
 
 1. Each task turns its documents into paths. One shuffle by anchor sorts them by (anchor, path,
    document, start): an anchor seen once drops out with all its windows; a path that came
    earlier is removed as a whole; an anchor with one path alone needs no more.
-2. Where an anchor has several paths (a branch), the first occurrence of each is expanded to
-   its windows, and a second shuffle sorts those by their digits. Later ones of a group are
-   removed. The first occurrence of a window lies in the first occurrence of its path, so
+2. Where an anchor has several paths (a branch), the first occurrence of each goes to the next
+   pass with longer grams, so shorter paths, and in the last pass to single windows, sorted by
+   two digits. The first occurrence of a window lies in the first occurrence of its path, so
    nothing else has to be compared.
 
 A task keeps only the first of equal paths or windows among the documents it has at hand and
@@ -39,10 +39,10 @@ MARKS = "key long, start int, n int, branch boolean"
 
 @dataclass(frozen=True)
 class Shape:
-    """Window length and gram in units; units are words or bytes."""
+    """Window length in units, words or bytes, and the grams of the passes, ascending."""
 
     length: int
-    gram: int
+    grams: tuple[int, ...]
     words: bool
 
 
@@ -78,38 +78,48 @@ def compared(p, s, key, start, n) -> pa.RecordBatch:
     return table(p, np.where(first, s, np.uint64(0)), key, start, np.where(first, n, -n))
 
 
-def paths(shape: Shape, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray):
+def chosen(shape: Shape, upto: np.ndarray, marks) -> np.ndarray:
+    """Which units begin a window that is looked at: all that fit, or those in ``marks`` (as in ``covered``)."""
+    if marks is not None:
+        return covered(shape, upto, marks, 1)
+    change = np.zeros(upto[-1] + 1, np.int64)
+    many = np.diff(upto) >= shape.length
+    np.add.at(change, upto[:-1][many], 1)
+    np.add.at(change, upto[1:][many] - shape.length + 1, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def paths(shape: Shape, gram: int, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, marks=None):
     """Anchor, path hash, key, start and number of windows of each path."""
     values, upto = unit_values(shape, data, bounds, 0)
-    roll = Rolling(values, 0)
-    grams = roll.every(shape.gram)
+    grams = Rolling(values, 0).every(gram)
     place = np.arange(len(grams), dtype=np.uint64)
-    least = window_min((grams & ~PLACE) | place, shape.length - shape.gram + 1) & PLACE
-    sizes = np.diff(upto)
-    doc = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
-    valid = np.arange(len(least)) + shape.length <= upto[1:][doc]
-    fresh = np.ones(len(least), bool)
-    fresh[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
-    starts = np.flatnonzero(fresh & valid)
-    # a path ends where the next begins or where its document has no more windows
-    stops = np.concatenate([starts[1:], [len(least)]])
-    doc = doc[starts]
-    n = np.minimum(stops, upto[1:][doc] - shape.length + 1) - starts
+    least = window_min((grams & ~PLACE) | place, shape.length - gram + 1) & PLACE
+    begins = chosen(shape, upto, marks)[: len(least)]
+    fresh = begins.copy()
+    fresh[1:] &= (least[1:] != least[:-1]) | ~begins[:-1]
+    edge = upto[:-1][upto[:-1] < len(least)]
+    fresh[edge] = begins[edge]
+    starts = np.flatnonzero(fresh)
+    # a path ends where the next begins or where the chosen windows end
+    upward = np.cumsum(begins)
+    n = np.diff(np.append(upward[starts] - 1, upward[-1] if len(upward) else 0))
+    doc = np.searchsorted(upto, starts, "right") - 1
     other, _ = unit_values(shape, data, bounds, 1)
     whole = Rolling(other, 1).at(starts, n + shape.length - 1)
     return grams[least[starts].astype(np.int64)], whole, keys[doc], starts - upto[doc], n
 
 
-def windows(shape: Shape, data, bounds, keys, owner, start, n):
-    """Two digits, key and start of each window of the given paths: the hashes of its halves."""
+def windows(shape: Shape, data, bounds, keys, marks):
+    """Two digits, key and start of each marked window: the hashes of its halves."""
     first, upto = unit_values(shape, data, bounds, 0)
     second, _ = unit_values(shape, data, bounds, 1)
-    at = np.repeat(start + upto[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.flatnonzero(chosen(shape, upto, marks))
     half = shape.length // 2
     d1 = Rolling(first, 0).at(at, half)
     d2 = Rolling(second, 1).at(at + half, shape.length - half)
-    doc = np.repeat(owner, n)
-    return d1, d2, keys[doc], at - upto[doc]
+    doc = np.searchsorted(upto, at, "right") - 1
+    return d1, d2, keys[doc], at - upto[doc], np.ones(len(at), np.int64)
 
 
 def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,50 +160,45 @@ def sorted_marks(rows: DataFrame, n: int) -> DataFrame:
 
 
 def removed_windows(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(key, start, n): runs of windows of ``docs`` (key, text) that also start earlier."""
+    """(key, start, n): runs of windows of ``docs`` (key, text and more) that also start earlier."""
     n = spread_width(docs.sparkSession)
 
-    def to_paths(batches):
-        for batch in batches:
-            data, bounds = bytes_of(batch["text"])
-            keys = batch["key"].to_numpy()
-            for a, b in chunked(bounds, CHUNK):
-                got = paths(shape, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], keys[a:b])
-                yield compared(*got)
-
-    def to_windows(batches):
-        for batch in batches:
-            data, bounds = bytes_of(batch["text"])
-            keys = batch["key"].to_numpy()
-            marks = batch["marks"]
-            ends = marks.offsets.to_numpy().astype(np.int64)
-            start, size = (marks.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-            for a, b in chunked(bounds, CHUNK):
-                here = slice(ends[a], ends[b])
-                owner = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                got = windows(shape, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], keys[a:b], owner, start[here], size[here])
-                yield compared(*got, np.ones(len(got[0]), np.int64))
-
-    found = stage(sorted_marks(docs.select("key", "text").mapInArrow(to_paths, ROWS), n), "paths")
-    branches = found.where("branch").groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    expanded = docs.select("key", "text").join(branches, "key").mapInArrow(to_windows, ROWS)
-    late = sorted_marks(expanded, n).where("not branch")
-    return found.where("not branch").unionByName(late).select("key", "start", "n")
+    def task(gram: int | None):
+        def run(batches):
+            for batch in batches:
+                data, bounds = bytes_of(batch["text"])
+                keys = batch["key"].to_numpy()
+                marks = batch["marks"] if "marks" in batch.schema.names else None
+                for a, b in chunked(bounds, CHUNK):
+                    part = (data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], keys[a:b])
+                    here = None if marks is None else marks[a:b]
+                    yield compared(*(windows(shape, *part, here) if gram is None else paths(shape, gram, *part, here)))
+
+        return run
+
+    found = stage(sorted_marks(docs.select("key", "text").mapInArrow(task(shape.grams[0]), ROWS), n), "paths")
+    out = found.where("not branch")
+    for gram in (*shape.grams[1:], None):
+        # all columns of the documents go along, so that every pass and the caller share one shuffle of them;
+        # the marks of a pass are read twice from one shuffle
+        branches = found.where("branch").groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+        found = sorted_marks(docs.join(branches, "key").mapInArrow(task(gram), ROWS), n)
+        out = out.unionByName(found.where("not branch"))
+    return out.select("key", "start", "n")
 
 
 def with_marks(docs: DataFrame, shape: Shape) -> DataFrame:
-    """``docs`` (key, doc_id, text) with ``marks``, the runs of windows to remove (null: none)."""
+    """``docs`` (key, text and more) with ``marks``, the runs of windows to remove (null: none)."""
     marks = removed_windows(docs, shape).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     return docs.join(marks, "key", "left")
 
 
-def covered(shape: Shape, upto: np.ndarray, marks) -> np.ndarray:
-    """Which units lie in a removed window. ``marks``: Arrow list of (start, n) for each document."""
+def covered(shape: Shape, upto: np.ndarray, marks, length: int | None = None) -> np.ndarray:
+    """Which units lie in a marked window, or in its first ``length`` units. ``marks``: Arrow list of (start, n) for each document."""
     ends = marks.offsets.to_numpy().astype(np.int64)
-    start, n = (marks.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-    owner = np.repeat(np.arange(len(upto) - 1), np.diff(ends))
-    start = start[: ends[-1]][ends[0] :] + upto[owner]
+    start, n = (marks.values.field(k).to_numpy().astype(np.int64)[ends[0] : ends[-1]] for k in (0, 1))
+    start = start + upto[np.repeat(np.arange(len(upto) - 1), np.diff(ends))]
     change = np.zeros(upto[-1] + 1, np.int64)
     np.add.at(change, start, 1)
-    np.add.at(change, start + n[ends[0] : ends[-1]] + shape.length - 1, -1)
+    np.add.at(change, start + n + (length or shape.length) - 1, -1)
     return np.cumsum(change[:-1]) > 0

@@ -2,8 +2,8 @@
 
 Suffixes (window starts) are ordered through ``threshold`` bytes only, most significant digit
 first, and a suffix whose digit is unique leaves the sort. The digits of the passes, see
-``repeats``: the window's anchor, the path round it, then for suffixes still in groups the
-leading and the trailing half of the window. Groups equal through all digits are exactly the
+``repeats``: a short anchor gram of the window and the path round it, a long one and its path,
+then for suffixes still in groups the leading and the trailing half of the window. Groups equal through all digits are exactly the
 repeated windows; all but the first of a group (by doc_id, then start) are removed.
 """
 
@@ -24,7 +24,7 @@ THRESHOLD = 100
 
 
 def shape_of(threshold: int) -> Shape:
-    return Shape(threshold, max(1, threshold // 3), False)
+    return Shape(threshold, tuple(sorted({max(1, threshold // 4), max(1, threshold * 17 // 20)})), False)
 
 
 def marked_batches(shape: Shape, batches):
