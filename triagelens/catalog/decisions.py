@@ -193,7 +193,7 @@ def _q(spark, d):
 def _q(spark, d):
     found = R.dense_search(D.with_vectors(scoped(spark, d), "request_id", "issue_text", "q_vec"), chunks_vec(spark, d), 10)
     # Sparse matches are the only chunks that can hold a whole passage.
-    hits = R.sparse_search(scoped(spark, d), R.inverted_index(A.doc_chunks(spark, d)), 1_000_000)
+    hits = R.sparse_matches(scoped(spark, d), R.inverted_index(A.doc_chunks(spark, d)))
     texts = A.doc_chunks(spark, d).select("chunk_id", "text_content")
     asked = A.passage_requests(spark, d).select("request_id", "issue_text")
     gold = hits.join(texts, "chunk_id").join(asked, "request_id").filter(F.col("text_content").contains(F.col("issue_text")))

@@ -292,14 +292,14 @@ def drift_query(spark, d, day=DAY):
 
 @register("drift_align", """
 SELECT c.tenant_id, c.section, round(c.value, 6) AS current_value, round(coalesce(b.value, c.value), 6) AS baseline_value
-FROM (SELECT tenant_id, section, avg(final_confidence) AS value FROM eval_keyed WHERE eval_date >= DATE '2001-10-25' GROUP BY ALL) c
+FROM (SELECT tenant_id, section, avg(final_confidence) AS value FROM eval_keyed WHERE eval_date >= DATE '1998-06-15' GROUP BY ALL) c
 LEFT JOIN (SELECT tenant_id, section, avg(final_confidence) AS value FROM eval_keyed
-  WHERE eval_date < DATE '1995-01-05' GROUP BY ALL) b USING (tenant_id, section)""")
+  WHERE eval_date < DATE '1998-06-15' GROUP BY ALL) b USING (tenant_id, section)""")
 def _q(spark, d):
     ds = A.evaluation_dataset(spark, d).withColumn("section", E.section_key(F.col("section")))
     def mean(df):
         return df.groupBy("tenant_id", "section").agg(F.avg("final_confidence").alias("value"))
-    return E.drift_align(mean(ds.filter("eval_date >= DATE'2001-10-25'")), mean(ds.filter("eval_date < DATE'1995-01-05'")))
+    return E.drift_align(mean(ds.filter("eval_date >= DATE'1998-06-15'")), mean(ds.filter("eval_date < DATE'1998-06-15'")))
 
 
 @register("drift_alert_counts", f"""

@@ -160,10 +160,10 @@ def alert_counts(spark, d):
 QUERIES["alert_route_counts"], ORACLES["alert_route_counts"] = QUERIES["src_alert_events"], ORACLES["src_alert_events"]
 
 
-@register("sink_jsonl_capped", "SELECT conv_id, turn, tone FROM (SELECT conv_id, turn, " + TX.tone_sql("an") + " AS tone FROM chat_norm) ORDER BY conv_id, turn LIMIT 100")
+@register("sink_jsonl_capped", "SELECT conv_id, turn, tone FROM (SELECT conv_id, turn, " + TX.tone_sql("an") + " AS tone FROM chat_norm)")
 def _q(spark, d):
     path = work_path(spark, "capped")
-    FD.sink_jsonl_capped(TX.pairs(spark, d), path, ["conv_id", "turn"], 100, ["conv_id", "turn", "tone"])
+    FD.sink_jsonl(TX.pairs(spark, d), path, ["conv_id", "turn"], ["conv_id", "turn", "tone"])
     return spark.read.schema("conv_id bigint, turn bigint, tone string").json(path)
 
 
@@ -425,7 +425,7 @@ def _q(spark, d):
  WHERE NOT list_contains(c.seen, a.artifact_id)) SELECT root, artifact_id, depth FROM chain""")
 def _q(spark, d):
     a = _artifacts(spark, d)
-    return L.lineage_chain(spark, a, a.select("artifact_id"))
+    return L.lineage_chain(a, a.select("artifact_id"))
 
 
 # -- monitoring -------------------------------------------------------------

@@ -124,7 +124,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     )
 
 
-def retrieval_chunks(pairs: DataFrame, tenant_id: str, as_of: str, max_rows: int | None = None) -> DataFrame:
+def retrieval_chunks(pairs: DataFrame, tenant_id: str, as_of: str) -> DataFrame:
     """Retrieval chunks from deduplicated pairs that carry ``seq`` (1-based).
 
     The id keeps the pair's running number; answers under eight words and
@@ -136,12 +136,11 @@ def retrieval_chunks(pairs: DataFrame, tenant_id: str, as_of: str, max_rows: int
     c = c.groupBy("norm_key").agg(
         F.min_by(F.struct("seq", "source", "customer_text", "agent_text"), "seq").alias("r")).select("r.*")
     section = X.section_of(F.concat_ws(" ", "customer_text", "agent_text"))
-    out = c.withColumn("section", section).select(
+    return c.withColumn("section", section).select(
         F.lit(tenant_id).alias("tenant_id"), "section",
         F.concat(F.lit("ext_"), F.col("source"), F.lit("_"), padded(F.col("seq"), 6)).alias("chunk_id"),
         F.concat_ws("_", F.lit("ext"), "source", "section", F.lit("playbook")).alias("doc_id"),
         "source", F.lit(as_of).alias("updated_at"), X.clean(F.col("agent_text")).alias("text"), "seq")
-    return out if max_rows is None else out.orderBy("seq").limit(int(max_rows))
 
 
 def padded(n: Column, width: int) -> Column:
@@ -175,7 +174,3 @@ def prior_assistant_messages(turns: DataFrame, max_turns: int = 8) -> DataFrame:
     keyed = msgs.withColumn("norm", F.array_join(X.plain_tokens(F.col("message")), " ")).filter(F.col("norm") != "")
     return keyed.groupBy("conv_id", "norm").agg(F.min_by(F.struct("turn", "message"), "turn").alias("r")).select(
         "conv_id", "r.turn", "r.message")
-
-
-def style_terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(X.plain_tokens(text), lambda t: F.length(t) > 2))

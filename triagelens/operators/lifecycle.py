@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from ..sources.tables import canonical_uuid
 
 # Seeded retention policies.
@@ -192,19 +193,25 @@ def registry_compliance(artifacts: DataFrame, lineage: DataFrame) -> DataFrame:
     return per_stage.unionByName(long(gaps)).unionByName(long(failed))
 
 
-def lineage_chain(spark: SparkSession, artifacts: DataFrame, artifact_ids: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Parent chain of each requested artifact, safe against cycles."""
-    artifacts.select("artifact_id", "parent_id").createOrReplaceTempView("tl_artifacts")
-    artifact_ids.select("artifact_id").createOrReplaceTempView("tl_roots")
-    return spark.sql(f"""
-      WITH RECURSIVE chain(root, artifact_id, depth, seen, parent_id) MAX RECURSION LEVEL {max_depth} AS (
-        SELECT r.artifact_id, a.artifact_id, 0, array(a.artifact_id), a.parent_id
-        FROM tl_roots r JOIN tl_artifacts a ON a.artifact_id = r.artifact_id
-        UNION ALL
-        SELECT c.root, a.artifact_id, c.depth + 1, array_append(c.seen, a.artifact_id), a.parent_id
-        FROM chain c JOIN tl_artifacts a ON a.artifact_id = c.parent_id
-        WHERE NOT array_contains(c.seen, a.artifact_id))
-      SELECT root, artifact_id, depth FROM chain""")
+def lineage_chain(artifacts: DataFrame, artifact_ids: DataFrame) -> DataFrame:
+    """Parent chain (root, artifact_id, depth) of each requested artifact, of any length.
+
+    Pointers double: after k rounds all ancestors less than 2 ** k steps away are known. A cycle
+    gives each of its members once, at its least depth, and ends the rounds.
+    """
+    known = artifacts.select("artifact_id", "parent_id").distinct()
+    jump = known.join(known.select(F.col("artifact_id").alias("parent_id")), "parent_id").select(F.col("artifact_id").alias("a"), F.col("parent_id").alias("b"))
+    roots = artifact_ids.select("artifact_id").join(known, "artifact_id", "left_semi").distinct()
+    chain = stage(roots.select(F.col("artifact_id").alias("root"), "artifact_id", F.lit(0).cast("long").alias("depth")), "chain")
+    jump, size, reach = stage(jump, "jump"), chain.count(), 1
+    while True:
+        further = chain.join(jump, chain["artifact_id"] == jump["a"]).select("root", F.col("b").alias("artifact_id"), (F.col("depth") + reach).alias("depth"))
+        chain = stage(chain.unionByName(further).groupBy("root", "artifact_id").agg(F.min("depth").alias("depth")), "chain")
+        before, size = size, chain.count()
+        if size == before:
+            return chain
+        onward = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jump, reach = stage(jump.join(onward, "b").select("a", F.col("c").alias("b")), "jump"), 2 * reach
 
 
 def list_artifacts(artifacts: DataFrame, artifact_type: str | None = None, stage: str | None = None) -> DataFrame:

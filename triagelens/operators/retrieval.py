@@ -79,8 +79,8 @@ def inverted_index(chunks: DataFrame) -> DataFrame:
     )
 
 
-def sparse_search(requests: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Chunks of the scope that hold every query term, ranked by term density.
+def sparse_matches(requests: DataFrame, index: DataFrame) -> DataFrame:
+    """All chunks of the scope that hold every query term, with their term density.
 
     Two steps keep frequent words from multiplying the join. The request's
     rarest term alone names the candidates, because a match must hold it; the
@@ -106,7 +106,12 @@ def sparse_search(requests: DataFrame, index: DataFrame, k: int) -> DataFrame:
         .filter(F.col("matched") == F.col("n_terms"))
         .withColumn("sparse_score", F.round("sparse_score", 9))
     )
-    return top_k(scored.select("request_id", "chunk_id", "sparse_score"), k, "sparse_score")
+    return scored.select("request_id", "chunk_id", "sparse_score")
+
+
+def sparse_search(requests: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of ``sparse_matches`` for each request."""
+    return top_k(sparse_matches(requests, index), k, "sparse_score")
 
 
 # -- block search -----------------------------------------------------------

@@ -14,7 +14,7 @@ _PAIR = ["source", "customer_text", "agent_text", "tone", "channel", "tags"]
 
 def build_corpus(
     pair_sets: list[DataFrame], order: list[str], tenant_id: str, as_of: str,
-    max_retrieval_rows: int | None = None, intents: DataFrame | None = None,
+    intents: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Frames for the three outputs.
 
@@ -28,7 +28,7 @@ def build_corpus(
     out = {
         "pairs": deduped,
         "style": deduped.select("seq", *_PAIR),
-        "chunks": K.retrieval_chunks(deduped, tenant_id, as_of, max_retrieval_rows),
+        "chunks": K.retrieval_chunks(deduped, tenant_id, as_of),
     }
     if intents is not None:
         out["intents"] = intents

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, role_of
+from ..session import stage
 
 # Field names conversation records use.
 TURN_LISTS = ["dialogue", "dialog", "turns", "messages", "conversation", "chat"]
@@ -26,11 +27,12 @@ def _turn(v: Column, path: Column) -> Column:
     return F.struct(path.alias("path"), role_of(_first_text(v, ROLE_FIELDS), inbound).alias("role"), _first_text(v, TEXT_FIELDS).alias("text"))
 
 
-def conversations(spark: SparkSession, path: str, jsonl: bool = True, depth: int = 3) -> DataFrame:
+def conversations(spark: SparkSession, path: str, jsonl: bool = True) -> DataFrame:
     """Turns (conv_id, turn, role, text) of nested conversation records.
 
-    Lines that are not JSON are skipped. Turn lists may nest; each level is one
-    narrow explode, ``depth`` levels are followed.
+    Lines that are not JSON are skipped. Turn lists may nest, also directly in
+    one another; each level is one narrow explode, staged and followed until a
+    level is empty.
     """
     raw = spark.read.text(path, wholetext=not jsonl).select(
         F.concat_ws(":", F.element_at(F.split(F.input_file_name(), "/"), -1), F.monotonically_increasing_id().cast("string")).alias("conv_id"),
@@ -39,18 +41,19 @@ def conversations(spark: SparkSession, path: str, jsonl: bool = True, depth: int
         items = F.try_variant_get("v", "$", "array<variant>")
         raw = raw.select("conv_id", F.posexplode(F.coalesce(items, F.array("v")))).select(
             F.concat_ws("#", "conv_id", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("conv_id"), F.col("col").alias("v"))
-    level = raw.select("conv_id", "v", F.lit("").alias("path"))
+    level = stage(raw.select("conv_id", "v", F.lit("").alias("path")), "level")
     out = None
-    for _ in range(depth):
+    while out is None or not level.isEmpty():
         turns = level.select("conv_id", F.inline(F.array(_turn(F.col("v"), F.col("path"))))).filter(F.col("text") != "")
         out = turns if out is None else out.unionByName(turns)
         lists = F.array(*[F.struct(F.lit(i).alias("i"), F.try_variant_get("v", f"$.{n}", "array<variant>").alias("items"))
-                          for i, n in enumerate(TURN_LISTS)])
-        level = (
+                          for i, n in enumerate(TURN_LISTS)],
+                        F.struct(F.lit(len(TURN_LISTS)).alias("i"), F.try_variant_get("v", "$", "array<variant>").alias("items")))
+        level = stage(
             level.select("conv_id", "path", F.inline(lists)).filter(F.col("items").isNotNull())
             .select("conv_id", "path", "i", F.posexplode("items"))
             .select("conv_id", F.col("col").alias("v"),
-                    F.concat("path", F.col("i").cast("string"), F.lpad(F.col("pos").cast("string"), 9, "0")).alias("path")))
+                    F.concat("path", F.col("i").cast("string"), F.lpad(F.col("pos").cast("string"), 9, "0")).alias("path")), "level")
     return out.withColumnRenamed("path", "turn")
 
 
@@ -120,9 +123,8 @@ def style_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return out.filter((F.col("customer_text") != "") & (F.col("agent_text") != ""))
 
 
-def intent_jsonl(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
-    raw = spark.read.schema(PAIR_SCHEMA + ", source string").json(path)
-    return raw.limit(int(max_rows)) if max_rows > 0 else raw
+def intent_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PAIR_SCHEMA + ", source string").json(path)
 
 
 def model_artifact(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -143,18 +145,22 @@ def alert_route_counts(events: DataFrame) -> DataFrame:
     return per.unionByName(per.agg(F.sum("n").alias("n")).select(F.lit("__total__").alias("route"), F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def sink_jsonl_capped(df: DataFrame, path: str, order: list[str], max_rows: int, columns: list[str]) -> None:
-    """The first ``max_rows`` rows in order, as JSON lines."""
-    df.orderBy(*order).limit(max(1, int(max_rows))).select(*columns).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def sink_jsonl(df: DataFrame, path: str, order: list[str], columns: list[str]) -> None:
+    """All rows as JSON lines, in order from file to file."""
+    df.orderBy(*order).select(*columns).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def sink_report(report: DataFrame, path: str, title: str, max_rows: int = 50) -> str:
-    """Write a small report as JSON and return it as a Markdown table."""
-    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    rows = report.limit(max_rows).collect()
-    lines = [f"# {title}", "", "| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns)]
-    lines += ["| " + " | ".join("n/a" if v is None else str(v) for v in r) + " |" for r in rows]
-    return "\n".join(lines) + "\n"
+def sink_report(report: DataFrame, path: str, title: str) -> DataFrame:
+    """Write a report as JSON lines, every row; returns it as lines of a Markdown table (``n``, ``line``).
+
+    Row lines all carry ``n`` 3, after the title and the two heading lines.
+    """
+    report.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("n/a")) for c in report.columns]
+    body = report.select(F.lit(3).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = [f"# {title}", "| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns)]
+    lines = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(x).alias("line")) for i, x in enumerate(head)])
+    return report.sparkSession.range(1).select(F.inline(lines)).unionByName(body)
 
 
 def sink_events(events: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def replace_partition(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Replace exactly the partitions that occur in ``df``."""
-    (df.repartition(*keys, F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys][:1]), F.lit(16)))
+    """Replace exactly the partitions that occur in ``df``; large ones are split by size."""
+    (df.hint("rebalance", *keys)
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 

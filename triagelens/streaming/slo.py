@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..session import work_path
+from ..session import ROCKSDB_PROVIDER, work_path
 
 RATE_FLOOR = 0.001  # fixed value: smallest denominator of a rate
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def rate_ratio(num: Column, den: Column, seconds: int) -> Column:
     return (num / seconds) / F.greatest(den / seconds, F.lit(RATE_FLOOR))
 
@@ -122,10 +125,22 @@ def drift_from_partials(partials: DataFrame, short_seconds: int = 3600, long_sec
 
 
 def run_available(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Run an append stream over what is there now and read its output table."""
+    """Run an append stream over what is there now and read its output table.
+
+    State of several columns needs the RocksDB store, so the stream starts with it whatever the
+    session has; the session's own setting is put back.
+    """
     spark = stream.sparkSession
     out = path or work_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
-         .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    had = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB_PROVIDER)
+    try:
+        q = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
+             .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if had is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, had)
     return spark.read.schema(stream.schema).parquet(out)
