@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelens.llm.common import read, stage, tokenizer_path
+from triagelens.llm.rolling import bytes_of
 from triagelens.llm.tokens import encode_chunks
 
 CAPACITY = 2048
@@ -83,7 +84,7 @@ def pack_tasks(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
 
         for batch in batches:
             names = batch["doc_id"].to_pylist()
-            for at, ids, bounds in encode_chunks(tokenizer, batch["text"].to_pylist(), end_id):
+            for at, ids, bounds in encode_chunks(tokenizer, *bytes_of(batch["text"]), end_id):
                 raw = ids.astype("<u4").tobytes()
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     start = 0

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelens.llm.common import buckets_by_id, by_bucket, read, spread_width, stage, tokenizer_path
+from triagelens.llm.rolling import bytes_of
 from triagelens.llm.tokens import encode_chunks
 
 SHARD_IDS = 1 << 20
@@ -177,9 +178,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: in
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, TYPES)], names=NAMES)
 
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            doc_ids = batch["doc_id"].to_pylist()
             buckets = batch["bucket"].to_pylist()
-            for at, ids, bounds in encode_chunks(tokenizer, texts, end_id):
+            for at, ids, bounds in encode_chunks(tokenizer, *bytes_of(batch["text"]), end_id):
                 for k in range(len(bounds) - 1):
                     if buckets[at + k] != at_bucket:
                         if names:

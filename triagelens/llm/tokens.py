@@ -2,26 +2,60 @@
 
 The tokenizer splits a text into pre-tokens before it merges bytes, and no merge crosses a
 pre-token. A lone space or line feed between two characters that are not white space always
-starts a pre-token, and so does a full stop or comma after a letter or digit, so a text may be
-cut there, each distinct unit encoded once by the library, and the ids put together again. A
-text that has other white space or runs of marks is encoded whole.
+starts a pre-token, so does what follows a lone line feed, and so does a full stop or comma
+after an ASCII letter or digit. A text is cut there (``cuts``), each distinct unit is encoded
+once by the library, and the ids are put together again.
 """
 
 from __future__ import annotations
 
 import gc
 import os
-import re
 from functools import cache
 
 import numpy as np
 
-#: White space that is not a lone space or line feed, and marks that a cut before a full stop or comma would part.
-ODD = [re.compile(r"\s\s"), re.compile(r"[^\S \n]"), re.compile(r"[\0\x1c-\x1f]"), re.compile(r"[\W_][.,]")]
+from triagelens.llm.rolling import Rolling, byte_values, chunked
+
 #: Distinct units kept between batches of a worker; the memory is emptied beyond it.
 MEMORY = 1_000_000
 
 
+def class_of_bytes() -> np.ndarray:
+    """1: never white space nor part of it; 2: ASCII letter or digit; 0: may be."""
+    kind = np.zeros(256, np.uint8)
+    kind[0x21:0x7F] = 1
+    kind[0x80:] = 1
+    kind[[0xC2, 0xE1, 0xE2, 0xE3]] = 0  # characters of these first bytes may be white space
+    for a, b in (("0", "9"), ("A", "Z"), ("a", "z")):
+        kind[ord(a) : ord(b) + 1] = 2
+    return kind
+
+
+KIND = class_of_bytes()
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where units begin in the UTF-8 bytes of texts in a row."""
+    n = len(data)
+    begin = np.zeros(n + 1, bool)
+    begin[bounds] = True
+    if n > 2:
+        kind = KIND[data]
+        # a character's last byte stands for it: those whose first byte may be white space are spoilt up to three bytes on
+        last = kind.copy()
+        odd = np.flatnonzero(np.isin(data, (0xC2, 0xE1, 0xE2, 0xE3)))
+        for k in (1, 2):
+            last[np.minimum(odd + k, n - 1)] = 0
+        inside = ~(begin[1:-2] | begin[2:-1])  # neither at the start of a text nor at its end
+        lone = np.isin(data[1:-1], (0x20, 0x0A)) & (last[:-2] > 0) & (kind[2:] > 0) & inside
+        begin[1 : n - 1] |= lone
+        begin[2:n] |= lone & (data[1:-1] == 0x0A)
+        stop = ((data[1:] == 0x2E) | (data[1:] == 0x2C)) & (kind[:-1] == 2)
+        begin[1:n] |= stop
+    return np.flatnonzero(begin[:n])
+
+
 @cache
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,59 +66,53 @@ def tokenizer(path: str):
     return t
 
 
-class Numbered(dict):
-    """Numbers keys as they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.new.append(key)
-        return n
-
-
 class Encoder:
-    """Ids of texts by one tokenizer file; units seen before are looked up."""
+    """Ids of texts by one tokenizer file; units seen before are looked up by a 64-bit hash."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.path, self.memory = path, memory
         self.clear()
 
     def clear(self) -> None:
-        self.known = Numbered()
-        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def learn(self) -> None:
-        """Keep the ids of the units numbered last."""
-        got = [e.ids for e in tokenizer(self.path).encode_batch_fast(self.known.new, add_special_tokens=False)]
-        self.known.new.clear()
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), np.int64, len(got))])
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        """Keep the ids of new units, given by ascending hash."""
+        got = [e.ids for e in tokenizer(self.path).encode_batch_fast(units, add_special_tokens=False)]
+        at = np.searchsorted(self.hashes, hashes)
+        self.number = np.insert(self.number, at, len(self.ends) - 1 + np.arange(len(units)))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32)])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and where each text's ids begin and the last ends."""
-        if len(self.known) > self.memory:
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the sorted hashes, and whether it is there."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return at, np.zeros(len(hashes), bool)
+        at = np.minimum(at, len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, given as UTF-8 bytes in a row, and where each text's ids begin and the last ends."""
+        if len(self.hashes) > self.memory:
             self.clear()
-        units: list[str] = []
-        ends = []
-        for text in texts:
-            if not text:
-                pass
-            elif any(p.search(text) for p in ODD):
-                units.append(text)
-            else:
-                units += text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
-            ends.append(len(units))
-        codes = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        if self.known.new:
-            self.learn()
-        sizes = self.sizes[codes]
+        starts = cuts(data, bounds)
+        ends = np.append(starts[1:], len(data))
+        hashes, first, which = np.unique(Rolling(byte_values(0)[data], 0).at(starts, ends - starts), return_index=True, return_inverse=True)
+        at, known = self.find(hashes)
+        if not known.all():
+            raw = data.tobytes()
+            new = first[~known]
+            self.learn(hashes[~known], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            at, _ = self.find(hashes)
+        number = self.number[at][which]
+        sizes = np.diff(self.ends)[number]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        starts = np.concatenate([[0], np.cumsum(self.sizes)])[codes]
-        ids = self.flat[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
-        return ids, before[np.concatenate([[0], np.asarray(ends, np.int64)])]
+        ids = self.flat[np.repeat(self.ends[number] - before[:-1], sizes) + np.arange(before[-1])]
+        return ids, before[np.searchsorted(starts, bounds)]
 
 
 @cache
@@ -93,18 +121,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_chunks(path: str, texts: list[str | None], end_id: int, chars: int = 4_000_000):
-    """Ids with ``end_id`` after each text, a few million characters at a time: (first text, ids, bounds)."""
-    gc.freeze()  # the collector need not walk the known units again and again
-    e, at = encoder(path), 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to] or "") <= chars):
-            size += len(texts[to] or "")
-            to += 1
-        ids, bounds = e.encode(texts[at:to])
-        n = to - at
-        out = np.full(len(ids) + n, end_id, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
-        yield at, out, bounds + np.arange(n + 1)
-        at = to
+def encode_chunks(path: str, data: np.ndarray, bounds: np.ndarray, end_id: int, size: int = 4 << 20):
+    """Ids with ``end_id`` after each text, a few megabytes at a time: (first text, ids, bounds)."""
+    gc.freeze()  # the collector need not walk what stays
+    e = encoder(path)
+    for a, b in chunked(bounds, size):
+        ids, at = e.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        out = np.full(len(ids) + b - a, end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(at))] = ids
+        yield a, out, at + np.arange(b - a + 1)
