@@ -114,10 +114,11 @@ def fit(texts, langs: np.ndarray, labels: list[str]) -> Model:
     data, bounds = bytes_of(letters(texts))
     counts = np.zeros((len(labels), len(SIZES) * TABLE))
     owner = np.array([labels.index(x) for x in langs], np.int64)
-    for at in slots(data):
-        doc = np.repeat(owner, np.diff(bounds))[: len(at)]
-        for k in range(len(labels)):
-            counts[k] += np.bincount(at[doc == k], minlength=counts.shape[1])
+    for a, b in chunked(bounds, 1 << 20):
+        for at in slots(data[bounds[a] : bounds[b]]):
+            doc = np.repeat(owner[a:b], np.diff(bounds[a : b + 1]))[: len(at)]
+            for k in range(len(labels)):
+                counts[k] += np.bincount(at[doc == k], minlength=counts.shape[1])
     # shares within each n-gram size, each language weighing the same
     rate = counts.reshape(len(labels), len(SIZES), TABLE)
     rate = (rate + 0.5) / (rate.sum(2, keepdims=True) + 0.5 * TABLE)

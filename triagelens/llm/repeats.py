@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from triagelens.llm.common import spread_width, stage
 from triagelens.llm.rolling import Rolling, byte_values, bytes_of, chunked, mix, window_min, word_spans
 
-CHUNK = 3 << 20
+#: Bytes of documents that a task has at hand at once; about 100 bytes of memory each.
+CHUNK = 1 << 20
 PLACE = np.uint64((1 << 28) - 1)
 ROWS = "p long, s long, key long, start int, n int"
 MARKS = "key long, start int, n int, branch boolean"

@@ -33,7 +33,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** j and base ** -j modulo 2 ** 64 for j up to n."""
     got = _powers.get(which)
     if got is None or len(got[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 20)
         base = BASES[which]
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):

@@ -121,7 +121,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_chunks(path: str, data: np.ndarray, bounds: np.ndarray, end_id: int, size: int = 4 << 20):
+def encode_chunks(path: str, data: np.ndarray, bounds: np.ndarray, end_id: int, size: int = 2 << 20):
     """Ids with ``end_id`` after each text, a few megabytes at a time: (first text, ids, bounds)."""
     gc.freeze()  # the collector need not walk what stays
     e = encoder(path)
