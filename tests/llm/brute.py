@@ -40,3 +40,43 @@ def words_digest(docs, length=20):
         kept = b" ".join(w for w, f in zip(words, flags) if not f)
         rows.append((doc_id, len(words), sum(flags), hashlib.sha256(kept).hexdigest()))
     return rows
+
+
+def fingerprint(text):
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]), 42) for k in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(docs, distance=3):
+    """(doc_id, fingerprint, component) by comparing all pairs."""
+    rows = ordered(docs)
+    prints = [fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [(d, f"{prints[k]:016x}", rows[find(k)][0]) for k, (d, _) in enumerate(rows)]
+
+
+def jaccard(a, b):
+    """Generalised Jaccard of word counts."""
+    from collections import Counter
+
+    a, b = Counter(a.split()), Counter(b.split())
+    both = a.keys() | b.keys()
+    return sum(min(a[x], b[x]) for x in both) / max(1, sum(max(a[x], b[x]) for x in both))
