@@ -162,7 +162,9 @@ def test_style_examples_against_brute_force(spark):
         def score(x):
             a, b = terms(text), terms(x[3])
             return (2.0 if tone and tone == x[1] else 0) + (1.5 if channel and channel == x[2] else 0) + len(a & b) / max(len(a), len(b))
-        assert got[rid] == [x[0] for x in sorted(ex, key=lambda x: (-score(x), x[0]))[:2]]
+        # only positive ones, or the first two where none is
+        able = [x for x in ex if score(x) > 0] or ex
+        assert got[rid] == [x[0] for x in sorted(able, key=lambda x: (-score(x), x[0]))[:2]]
 
 
 def test_workload_feed(spark, tmp_path):
