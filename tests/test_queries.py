@@ -14,6 +14,10 @@ NAMES = [
 ]
 
 
+#: Has no rows on the smallest tables.
+LARGER = {"drift_metrics": "/root/testdata/sf0.01"}
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return duck(sf_dir)
@@ -21,6 +25,9 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, sf_dir, name):
+    if name in LARGER:
+        sf_dir = LARGER[name]
+        con = duck(sf_dir)
     status, note, _, _ = compare(spark, con, name, all_queries()[name], all_oracles()[name], sf_dir)
     assert status == "ok", note
 
