@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from triagelens.session import stage
 
-__all__ = ["buckets_by_id", "by_bucket", "keyed", "read", "spread_width", "stage", "tokenizer_path"]
+__all__ = ["buckets_by_id", "by_bucket", "keyed", "map_batches", "read", "spread_width", "stage", "tokenizer_path"]
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of about 4 MB, unless the session has a size of its own.
+
+    Rows are counted by default (10,000 a batch), which is 50 MB of whole texts, several times over in both processes.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, "4m")
+    return df.mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

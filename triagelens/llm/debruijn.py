@@ -16,7 +16,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from triagelens.llm.common import keyed, read
+from triagelens.llm.common import keyed, map_batches, read
 from triagelens.llm.repeats import Shape, covered, with_marks
 from triagelens.llm.rolling import chunked, bytes_of, word_spans
 
@@ -58,7 +58,7 @@ def repeated_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     marked = with_marks(keyed(docs), shape).select("doc_id", "text", "marks")
-    return marked.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return map_batches(marked, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5_debruijn_spans(spark, sf_dir: str) -> DataFrame:

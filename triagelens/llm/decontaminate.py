@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import read
+from triagelens.llm.common import map_batches, read
 from triagelens.llm.rolling import bytes_of, chunked
 
 Q = 10
@@ -193,7 +193,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, extra: bool = False) -> list
                             pa.array(v, t) for v, t in zip(zip(*rows), [*[pa.int64()] * 4, pa.int32()])
                         ], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        out.append(docs.mapInArrow(run, FOUND))
+        out.append(map_batches(docs, run, FOUND))
     return out
 
 
@@ -230,7 +230,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[a + doc] = False
                 yield batch.select(["row"]).filter(pa.array(keep))
 
-        docs = rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+        docs = map_batches(rows, run, rows.select("row").schema).select("row.*")
     return docs
 
 

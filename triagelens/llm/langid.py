@@ -6,7 +6,7 @@ all its n-grams, are decoded to the codeword with the least loss, each bit weigh
 its classifier does on the training rows; a text whose best two codewords are close is flagged
 as ambiguous.
 
-Training takes a sample of labelled rows, by a hash of their text, of about ``per_label`` rows of
+Training takes a sample of labelled rows, by a hash of their text, of about ``per_label`` texts of
 each language (``SAMPLE``, the documented bound); predictions read whole texts.
 """
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import read
+from triagelens.llm.common import map_batches, read
 from triagelens.llm.rolling import bytes_of, chunked
 
 SAMPLE = 500
@@ -98,13 +98,14 @@ def margins(texts, weights: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, per_label: int = SAMPLE) -> Model:
     """Model from ``labelled`` (text, lang); rows with a null in either, or no letters, teach nothing."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: max(r["n"], 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
         return Model([], np.ones((0, 0)), np.zeros((len(SIZES) * TABLE, 0), np.float32), *(np.zeros(0) for _ in range(3)))
     chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
     drawn = (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < F.element_at(chance, F.col("lang"))
-    sample = rows.where(drawn).limit(2 * per_label * len(labels)).toArrow()
+    # copies of one text teach once, so a large group of them can't crowd out the rest
+    sample = rows.where(drawn).dropDuplicates(["text", "lang"]).limit(2 * per_label * len(labels)).toArrow()
     texts, langs = sample["text"].combine_chunks(), np.array(sample["lang"].to_pylist())
     return fit(texts, langs, labels)
 
@@ -177,20 +178,23 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
     def run(batches):
         own = held.value
         for batch in batches:
-            texts = batch["text"]
-            has = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
-            pred, score, second = np.full(len(texts), None, object), np.zeros(len(texts)), np.zeros(len(texts))
-            if own.labels and len(texts):
-                best, score, second = decode(own, margins(texts, own.weights))
-                pred = np.array(own.labels, object)[best]
-            has &= pred != None  # noqa: E711
-            yield pa.RecordBatch.from_arrays([
-                batch["row"], pa.array(np.where(has, pred, "und").tolist(), pa.string()), pa.array(np.where(has, score, 0.0)),
-                pa.array(~has | (score - second < MARGIN)),
-            ], names=["row", "lang_pred", "score", "ambiguous"])
+            # the copies of a text that its letters need are made for a few at a time
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+            for a, b in chunked(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 1 << 18):
+                texts = batch["text"][a:b]
+                has = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
+                pred, score, second = np.full(len(texts), None, object), np.zeros(len(texts)), np.zeros(len(texts))
+                if own.labels:
+                    best, score, second = decode(own, margins(texts, own.weights))
+                    pred = np.array(own.labels, object)[best]
+                has &= pred != None  # noqa: E711
+                yield pa.RecordBatch.from_arrays([
+                    batch["row"][a:b], pa.array(np.where(has, pred, "und").tolist(), pa.string()), pa.array(np.where(has, score, 0.0)),
+                    pa.array(~has | (score - second < MARGIN)),
+                ], names=["row", "lang_pred", "score", "ambiguous"])
 
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    done = rows.mapInArrow(run, schema)
+    done = map_batches(rows, run, schema)
     return done.select("row.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "ambiguous"), names)])
 
 

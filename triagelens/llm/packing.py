@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import read, stage, tokenizer_path
+from triagelens.llm.common import map_batches, read, stage, tokenizer_path
 from triagelens.llm.rolling import bytes_of
 from triagelens.llm.tokens import encode_chunks
 
@@ -110,7 +110,7 @@ def pack_tasks(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
         if rows:
             yield out()
 
-    return docs.mapInArrow(run, PIECES)
+    return map_batches(docs, run, PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

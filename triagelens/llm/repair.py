@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import buckets_by_id, by_bucket, read, spread_width, stage, tokenizer_path
+from triagelens.llm.common import buckets_by_id, by_bucket, map_batches, read, spread_width, stage, tokenizer_path
 from triagelens.llm.rolling import bytes_of
 from triagelens.llm.tokens import encode_chunks
 
@@ -196,7 +196,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: in
             yield close()
 
     ordered = by_bucket(docs.withColumn("bucket", bucket), n).sortWithinPartitions("bucket", "doc_id", "text")
-    return stage(ordered.mapInArrow(encode, SHARDS), name)
+    return stage(map_batches(ordered, encode, SHARDS), name)
 
 
 NAMES = ["bucket", "first", "n_ids", "doc_ids", "payload"]
@@ -224,7 +224,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     pa.array(bounds[:-1] + batch["first"][row].as_py()), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64()),
                 ], names=["bucket", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("bucket", "first", "doc_ids", "payload").mapInArrow(decode, "bucket int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = map_batches(shards.select("bucket", "first", "doc_ids", "payload"), decode, "bucket int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     # one row a range: as many as shuffle partitions
     totals = shards.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     before = totals.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))

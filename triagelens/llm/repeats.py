@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import spread_width, stage
+from triagelens.llm.common import map_batches, spread_width, stage
 from triagelens.llm.rolling import Rolling, byte_values, bytes_of, chunked, mix, window_min, word_spans
 
 #: Bytes of documents that a task has at hand at once; about 100 bytes of memory each.
@@ -157,7 +157,7 @@ def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_marks(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(n, "p").sortWithinPartitions("p", "s", "key", "start").mapInArrow(earlier, MARKS)
+    return map_batches(rows.repartition(n, "p").sortWithinPartitions("p", "s", "key", "start"), earlier, MARKS)
 
 
 def removed_windows(docs: DataFrame, shape: Shape) -> DataFrame:
@@ -177,13 +177,13 @@ def removed_windows(docs: DataFrame, shape: Shape) -> DataFrame:
 
         return run
 
-    found = stage(sorted_marks(docs.select("key", "text").mapInArrow(task(shape.grams[0]), ROWS), n), "paths")
+    found = stage(sorted_marks(map_batches(docs.select("key", "text"), task(shape.grams[0]), ROWS), n), "paths")
     out = found.where("not branch")
     for gram in (*shape.grams[1:], None):
         # all columns of the documents go along, so that every pass and the caller share one shuffle of them;
         # the marks of a pass are read twice from one shuffle
         branches = found.where("branch").groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-        found = sorted_marks(docs.join(branches, "key").mapInArrow(task(gram), ROWS), n)
+        found = sorted_marks(map_batches(docs.join(branches, "key"), task(gram), ROWS), n)
         out = out.unionByName(found.where("not branch"))
     return out.select("key", "start", "n")
 

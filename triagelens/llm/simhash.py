@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import keyed, read, spread_width, stage
+from triagelens.llm.common import keyed, map_batches, read, spread_width, stage
 from triagelens.llm.graph import components
 from triagelens.llm.rolling import Rolling, byte_values, bytes_of, chunked, mix, word_spans
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = pa.array(fingerprint_array(batch["text"]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], fp], names=["key", "doc_id", "fp"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long")
+    return map_batches(docs.select("key", "doc_id", "text"), run, "key long, doc_id long, fp long")
 
 
 def index_positions(distance: int) -> list[tuple[int, ...]]:
@@ -171,7 +171,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 b.append(key[lo + y])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -254,7 +254,7 @@ def similar_classes(rows: DataFrame, size: int = 5, least: float = 0.8, rounds:
                 batch["key"], pa.array(np.concatenate([*whole, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*n, np.zeros(0, np.int64)])), fps,
             ], names=["key", "whole", "words", "fps"])
 
-    seen = stage(rows.select("key", "text").mapInArrow(prints, "key long, whole long, words long, fps array<long>"), "fingerprints")
+    seen = stage(map_batches(rows.select("key", "text"), prints, "key long, whole long, words long, fps array<long>"), "fingerprints")
     texts = stage(seen.where("words > 0").groupBy("whole").agg(F.min("key").alias("rep"), F.min("fps").alias("fps")), "texts")
     found = None
     for k in range(rounds):
@@ -274,7 +274,7 @@ def similar_classes(rows: DataFrame, size: int = 5, least: float = 0.8, rounds:
                 yield pa.RecordBatch.from_arrays([batch["key"][a:b], pa.ListArray.from_arrays(pa.array(at), pa.array(grams.view(np.int64)))], names=["key", "grams"])
 
     ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stage(rows.select("key", "text").join(ends, "key", "left_semi").mapInArrow(shingles, "key long, grams array<long>"), "shingles")
+    sets = stage(map_batches(rows.select("key", "text").join(ends, "key", "left_semi"), shingles, "key long, grams array<long>"), "shingles")
     pairs = found.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     linked = pairs.where(common >= F.lit(least) * (F.size("ga") + F.size("gb") - common)).select("a", "b")

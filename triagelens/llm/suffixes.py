@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from triagelens.llm.common import keyed, read
+from triagelens.llm.common import keyed, map_batches, read
 from triagelens.llm.repeats import Shape, covered, with_marks
 from triagelens.llm.rolling import bytes_of, chunked
 
@@ -60,7 +60,7 @@ def repeated_bytes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     marked = with_marks(keyed(docs), shape).select("doc_id", "text", "marks")
-    return marked.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return map_batches(marked, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -88,7 +88,7 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([columns[c] for c in names], fields=list(row.type))], names=["row"])
 
     schema = marked.select("row").schema
-    return marked.mapInArrow(cut, schema).select("row.*")
+    return map_batches(marked, cut, schema).select("row.*")
 
 
 def op10_radix_suffixes(spark, sf_dir: str) -> DataFrame:
