@@ -248,6 +248,17 @@ def test_warc_archive_layout():
     assert list(warc.frames(archive)) == records
 
 
+def test_copies_of_a_text_teach_once(spark):
+    words = {"aa": ["house", "thing", "where", "bright"], "bb": ["maison", "chose", "quelle", "brillant"]}
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(w, k=12)), lang) for lang, w in words.items() for k in range(60)]
+    copies = [(1000 + k, "house thing where bright house", "aa") for k in range(3000)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string")
+    # all distinct texts fit the sample and its limit, the copies as rows would not
+    got = langid.predict(df, langid.train(df, 200)).where("doc_id < 1000").collect()
+    assert len(got) == 120 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_codes(spark):
     rng = random.Random(4)
     made = {"xx": "abcde", "yy": "fghij", "zz": "klmno", "ww": "pqrst", "vv": "uvwxyz"}
