@@ -275,6 +275,13 @@ def test_language_codes(spark):
     assert len({tuple(c) for c in codes}) == 12 and all(len(set(c)) == 2 for c in codes.T)
 
 
+@pytest.mark.parametrize("n", range(1, 41))
+def test_codewords_of_any_number_of_labels(n):
+    codes = langid.codewords(n)
+    assert codes.shape[0] == n and len({tuple(c) for c in codes}) == n
+    assert len({tuple(c * c[0]) for c in codes.T}) == codes.shape[1] and all(len(set(c)) == 2 for c in codes.T)
+
+
 def edit_distance_anywhere(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):

@@ -13,6 +13,7 @@ each language (``SAMPLE``, the documented bound); predictions read whole texts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,15 @@ class Model:
 
 
 def codewords(n: int) -> np.ndarray:
-    """Exhaustive codes up to seven languages, then seeded random ones of distinct, balanced columns."""
+    """Exhaustive codes up to seven languages, then seeded random ones of distinct, balanced columns, as far as there are."""
     if n < 2:
         return np.ones((n, 0))
     if n <= 7:
         columns = [[1] + [1 - 2 * (k >> j & 1) for j in range(n - 1)] for k in range(1, 1 << (n - 1))]
         return np.array(columns, float).T
     rng, columns = np.random.default_rng(n), {}
-    while len(columns) < max(31, int(12 * np.log2(n))):
+    there = comb(n, n // 2) // (2 - n % 2)  # a column and its negative are one
+    while len(columns) < min(there, max(31, int(12 * np.log2(n)))):
         c = rng.permutation([1] * (n // 2) + [-1] * (n - n // 2))
         columns[tuple(c * c[0])] = c * c[0]
     return np.array(list(columns.values()), float).T
