@@ -215,6 +215,38 @@ def test_similar_texts_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7] and len(kept.columns) == 10
 
 
+def shingle_classes(rows):
+    """First id of each class of texts by all pairs."""
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in rows if (w := (t or "").lower().split())}
+    root = {d: d for d in sets}
+    for d in sets:
+        for e in sets:
+            if d < e and root[d] != root[e] and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]):
+                low, high = sorted((root[d], root[e]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return sorted({*root.values()} | {d for d, _ in rows if d not in root})
+
+
+def test_extended_truncated_and_repetitive_texts(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 240, 4):
+        base = words(rng, rng.randint(5, 400), "abcdefghijk").split()
+        if k % 3 == 0:
+            base = rng.choices(base[: max(4, len(base) // 5)], k=len(base))
+        some = len(base) // rng.randint(5, 12)
+        edited = [*base]
+        for at in rng.sample(range(len(base)), len(base) // 60):
+            edited[at] = "new"
+        rows += [(k, base), (k + 1, base + words(rng, some, "lmnopq").split()), (k + 2, base[: len(base) - some]), (k + 3, edited)]
+    line = words(rng, 30).split()
+    rows += [(500 + k, line + words(rng, 12).split()) for k in range(60)]
+    rows = [(d, " ".join(w)) for d, w in rows] + [(600, None), (601, "")]
+    want = shingle_classes(rows)
+    assert 60 < len(want) < 240
+    assert sorted(r.doc_id for r in simhash.first_of_each(frame(spark, rows)).collect()) == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 600)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
