@@ -247,6 +247,19 @@ def test_extended_truncated_and_repetitive_texts(spark):
     assert sorted(r.doc_id for r in simhash.first_of_each(frame(spark, rows)).collect()) == want
 
 
+def test_families_of_one_vocabulary(spark):
+    rng = random.Random(12)
+    base = words(rng, 200).split()
+    rows = [(1, base)]
+    for k in range(1, 20):
+        own = rng.sample(base, len(base))
+        rows += [(2 * k, own), (2 * k + 1, [*own, own[7]])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    want = [1, *range(2, 40, 2)]
+    assert shingle_classes(rows) == want
+    assert sorted(r.doc_id for r in simhash.first_of_each(frame(spark, rows)).collect()) == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 600)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
