@@ -367,6 +367,37 @@ def test_decontamination_finds_edited_windows(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_finds_stretches_at_any_byte(spark):
+    rng = random.Random(7)
+    items = [(1, words(rng, 70)), (2, words(rng, 40)), (3, words(rng, 6))]
+    docs = [(500 + k, words(rng, 12)) for k in range(10)]
+    for k in range(60):
+        whole = items[k % 2][1]
+        start, size = rng.randrange(len(whole) - 150), rng.choice((96, 99, 100, 104, 130, 149))
+        passage = list(whole[start : start + size])
+        for _ in range(k % 7):
+            at = rng.randrange(len(passage))
+            passage[at : at + rng.randint(0, 1)] = rng.choice("XYZ")
+        docs.append((k, ["", words(rng, 5)][k % 5 > 0] + "".join(passage) + ["", words(rng, 5)][k % 4 > 0]))
+    docs += [(1000, items[0][1][10:140]), (1001, items[2][1])]
+
+    def least(x, t):
+        x, t = x.lower().encode(), t.lower().encode()
+        m = min(len(x), decontaminate.WINDOW)
+        width = range(len(t) + 1)
+        row = np.zeros((len(x) - m + 1, len(t) + 1), int)  # every stretch at once, all diagonals
+        for i in range(m):
+            c = np.frombuffer(x, np.uint8)[i : i + len(row), None] != np.frombuffer(t, np.uint8)
+            now = np.concatenate([row[:, :1] + 1, np.minimum(row[:, 1:] + 1, row[:, :-1] + c)], 1)
+            row = np.minimum.accumulate(now - width, axis=1) + width
+        return int(row.min()), decontaminate.edits_of(m)
+
+    want = {(d, i): e for d, t in docs for i, x in items for e, most in [least(x, t)] if e <= most}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert got == want and (1000, 1) in want and 20 < len(want) < 60
+
+
 def test_empty_tables(spark, docs):
     _, df = docs
     none = df.limit(0)

@@ -1,10 +1,11 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut to overlapping windows (``WINDOW`` bytes, the last one flush with the
-end; a shorter item is one window). A text region within e edits of a window of m bytes shares
-at least ``m - q + 1 - q e`` q-grams with it, on diagonals (text place less window place) that
-lie within e of each other. So shared q-grams are counted in bands of 2 (e + 1) diagonals that
-overlap by half, bands that reach the bound are kept, and banded alignment verifies them.
+An item is found where any stretch of ``WINDOW`` bytes of it (a shorter item as a whole), begun
+at any byte, is in a text with few edits. A text region within e edits of a stretch of m bytes
+shares at least ``m - q + 1 - q e`` q-grams with it, on diagonals (text place less item place)
+that lie within e of each other. So the q-grams that a text shares with an item are taken in
+bands of 2 (e + 1) diagonals that overlap by half; where as many as the bound have places in
+the item within one stretch, banded alignment of all stretches around verifies them.
 
 Items come to the tasks in blocks of bounded size, broadcast one after another, so a benchmark
 of any size is searched; documents are never shuffled.
@@ -27,15 +28,17 @@ Q = 10
 RATE = 0.05
 WINDOW, STRIDE = 100, 50
 BLOCK_BYTES = 4 << 20
+#: Stretches aligned at once.
+PIECE = 1 << 14
 SLOT_BITS = 22
 TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Index:
-    """Q-grams of a block of items: sorted codes, and the window and place of each."""
+    """Q-grams of a block of items: sorted codes, and the item and place of each."""
 
-    windows: list[tuple[int | None, bytes, int]]  # item, bytes, edits
+    items: list[tuple[int | None, bytes, int]]  # id, bytes, edits in a stretch
     codes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
@@ -57,6 +60,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def item_windows(text: str) -> list[bytes]:
+    """Stretches of an item at a stride, to test with; the search takes those at every byte."""
     raw = lowered(np.frombuffer(text.encode(), np.uint8)).tobytes()
     if len(raw) <= WINDOW:
         return [raw]
@@ -70,8 +74,9 @@ def edits_of(m: int) -> int:
 
 
 def build(items: list[tuple[int | None, str]]) -> Index:
-    windows = [(k, w, edits_of(len(w))) for k, text in items for w in item_windows(text) if len(w) >= Q]
-    codes = [grams(np.frombuffer(w, np.uint8)) for _, w, _ in windows]
+    raw = [(k, lowered(np.frombuffer(text.encode(), np.uint8)).tobytes()) for k, text in items]
+    held = [(k, w, edits_of(min(len(w), WINDOW))) for k, w in raw if len(w) >= Q]
+    codes = [grams(np.frombuffer(w, np.uint8)) for _, w, _ in held]
     sizes = [len(c) for c in codes]
     code = np.concatenate([*codes, np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -79,43 +84,42 @@ def build(items: list[tuple[int | None, str]]) -> Index:
     order = np.argsort(code, kind="stable")
     taken = np.zeros(1 << SLOT_BITS, bool)
     taken[slot(code)] = True
-    return Index(windows, code[order], owner[order], place[order], taken)
+    return Index(held, code[order], owner[order], place[order], taken)
 
 
 def slot(code: np.ndarray) -> np.ndarray:
     return ((code * TURN) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def distance_in(pattern: bytes, region: bytes, most: int, width: int) -> tuple[int, int] | None:
-    """Least edits of ``pattern`` to any slice of ``region``, and where that slice ends; None above ``most``.
+def stretches_in(item: np.ndarray, size: int, text: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each stretch of ``size`` bytes of ``item`` to any slice of ``text``, and where that slice ends.
 
-    Only diagonals 0 to ``width`` are filled: pattern place i meets region places i to i + width.
+    Only diagonals (text place less item place) ``first`` to ``first + width`` are filled, all stretches at once.
     """
-    at = region.find(pattern)
-    if at >= 0:
-        return 0, at + len(pattern)
-    far = most + 1
-    row = [0] * (width + 1)
-    for i, c in enumerate(pattern):
-        now = [far] * (width + 1)
-        for d in range(width + 1):
-            j = i + d
-            best = row[d + 1] + 1 if d < width else far
-            if j < len(region):
-                best = min(best, row[d] + (region[j] != c))
-            if d and j <= len(region):
-                best = min(best, now[d - 1] + 1)
-            now[d] = min(best, far)
-        row = now
-        if min(row) > most:
-            return None
-    ends = [(e, len(pattern) + d) for d, e in enumerate(row) if len(pattern) + d <= len(region)]
-    best = min(ends, default=(far, 0))
-    return best if best[0] <= most else None
+    n = len(item) - size + 1
+    far = np.int32(size + 1)
+    across = np.arange(width + 1, dtype=np.int32)
+    # text place of each diagonal at each item place
+    at = first + across + np.arange(len(item) + 1)[:, None]
+    there = (at >= 0) & (at <= len(text))
+    differ = np.ones((len(item), width + 1), np.int32)
+    inside = (at[:-1] >= 0) & (at[:-1] < len(text))
+    differ[inside] = (text[at[:-1][inside]] != np.broadcast_to(item[:, None], differ.shape)[inside])
+    row = np.where(there[:n], np.int32(0), far)
+    for i in range(size):
+        now = row + differ[i : i + n]
+        now[:, :-1] = np.minimum(now[:, :-1], row[:, 1:] + 1)
+        now[~there[i + 1 : i + 1 + n]] = far
+        # further bytes of the text alone: one edit for each diagonal onward
+        now = np.minimum.accumulate(now - across, axis=1) + across
+        now[~there[i + 1 : i + 1 + n]] = far
+        row = np.minimum(now, far)
+    best = row.argmin(1)
+    return row[np.arange(n), best], at[size : size + n][np.arange(n), best]
 
 
 def search(index: Index, data: np.ndarray, bounds: np.ndarray):
-    """(text, item, start, end, edits) of each verified window in texts given as bytes in a row."""
+    """(text, item, start, end, edits) of each verified stretch in texts given as bytes in a row."""
     data = lowered(data)
     code = grams(data)
     at = np.flatnonzero(index.taken[slot(code)])
@@ -130,30 +134,45 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray):
     inside = at + Q <= bounds[doc + 1]
     at, which, doc = at[inside], which[inside], doc[inside]
     owner = index.owner[which]
-    edits = np.array([w[2] for w in index.windows], np.int64)
-    size = np.array([len(w[1]) for w in index.windows], np.int64)
-    # diagonals are counted from where a window that begins `size` before its text would begin
-    diagonal = at - bounds[doc] - index.place[which] + size[owner]
-    band = diagonal // (edits[owner] + 1)
-    reach = int(band.max()) + 2 if len(band) else 1
-    base = (doc * len(index.windows) + owner) * reach
-    keys, count = np.unique(np.concatenate([base + band, base + np.maximum(band - 1, 0)]), return_counts=True)
-    owner = keys // reach % len(index.windows) if len(index.windows) else keys
-    good = count >= size[owner] - Q + 1 - Q * edits[owner]
-    for key in keys[good].tolist():
-        w = key // reach % len(index.windows)
-        doc = key // reach // len(index.windows)
-        item, pattern, most = index.windows[w]
+    if not len(at):
+        return
+    edits = np.array([w[2] for w in index.items], np.int64)
+    length = np.array([len(w[1]) for w in index.items], np.int64)
+    place = index.place[which]
+    # diagonals are counted from where an item that ends before its text would begin
+    band = (at - bounds[doc] - place + length[owner]) // (edits[owner] + 1)
+    doc, owner, place = (np.concatenate([x, x]) for x in (doc, owner, place))
+    band = np.concatenate([band, np.maximum(band - 1, 0)])
+    order = np.lexsort((place, band, owner, doc))
+    doc, owner, band, place = doc[order], owner[order], band[order], place[order]
+    edge = np.ones(len(doc), bool)
+    edge[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])
+    group = np.cumsum(edge) - 1
+    # as many as the bound, from this one on, within the q-gram places of one stretch
+    size = np.minimum(length, WINDOW)
+    last = np.arange(len(doc)) + (size - Q - Q * edits)[owner]
+    ends = np.minimum(last, len(doc) - 1)
+    good = (last < len(doc)) & (group[ends] == group) & (place[ends] - place <= size[owner] - Q)
+    good = np.flatnonzero(good)
+    begins = np.split(good, np.flatnonzero(np.diff(group[good])) + 1) if len(good) else []
+    for own in begins:
+        k, d = int(owner[own[0]]), int(doc[own[0]])
+        item, pattern, most = index.items[k]
+        pattern, m = np.frombuffer(pattern, np.uint8), int(size[k])
+        text = data[bounds[d] : bounds[d + 1]]
         # two neighbouring bands of diagonals, and the budget on each side
-        first = key % reach * (most + 1) - len(pattern) - most
+        first = int(band[own[0]]) * (most + 1) - len(pattern) - most
         width = 2 * (most + 1) + 2 * most
-        begin = max(0, first)
-        text = data[bounds[doc] : bounds[doc + 1]]
-        region = text[begin : first + width + len(pattern) + 1].tobytes()
-        found = distance_in(pattern, region, most, width)
-        if found:
-            end = begin + found[1]
-            yield doc, item, max(0, end - len(pattern)), end, found[0]
+        # the stretches that hold all of one such run of q-grams, in pieces of bounded size
+        low = np.maximum(place[ends[own]] + Q - m, 0)
+        high = np.minimum(place[own], len(pattern) - m)
+        cut = np.flatnonzero(low[1:] > high[:-1] + 1) + 1
+        for lo, hi in zip(low[np.concatenate([[0], cut])].tolist(), high[np.concatenate([cut - 1, [len(own) - 1]])].tolist()):
+            for s in range(lo, hi + 1, PIECE):
+                part = pattern[s : min(s + PIECE, hi + 1) + m - 1]
+                least, end = stretches_in(part, m, text, first + s, width)
+                for x, e in zip(end[least <= most].tolist(), least[least <= most].tolist()):
+                    yield d, item, max(0, x - m), x, e
 
 
 FOUND = "doc_id long, item_id long, start long, end long, edits int"
@@ -201,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, edits: items of ``benchmark`` in texts of ``docs``, from the first to the last place found.
 
     Letter case of A-Z doesn't count; places are in UTF-8 bytes; ``edits`` is the least of the
-    item's windows. Null texts on either side match nothing, nor do items under ``Q`` bytes;
+    item's stretches. Null texts on either side match nothing, nor do items under ``Q`` bytes;
     null and repeated ids are kept row by row; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
