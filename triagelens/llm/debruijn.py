@@ -5,8 +5,8 @@ its last ``length - 1`` words. Edges that share their anchor (the least hashed w
 follow each other in a document are compacted to one path before anything is shuffled. Spark
 then brings paths together by anchor: a path that is alone or never branches stays compact; at
 branches the first occurrence of each path is taken apart into its edges, which meet in a second
-shuffle. Document and start carried by every row say which occurrence is the first, so each
-removed span is verified against its source. See ``repeats`` for the two shuffles.
+shuffle. Document and start carried by every row say which occurrence is the first; equality
+rests on pairs of 64-bit hashes, texts are not compared. See ``repeats`` for the two shuffles.
 """
 
 from __future__ import annotations
