@@ -8,6 +8,7 @@ from triagelens.llm.langid import op7_language_codes
 from triagelens.llm.lookup import op4_lookup_placement
 from triagelens.llm.packing import op3_harmonic_packing
 from triagelens.llm.repair import op1_repair_shards
+from triagelens.llm.runs import op12_descending_lcp_runs
 from triagelens.llm.simhash import op8_simhash_components
 from triagelens.llm.suffixes import op10_radix_suffixes
 from triagelens.llm.warc import op6_warc_dictionary
@@ -17,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_repair_shards, op2_weighted_sampling, op3_harmonic_packing, op4_lookup_placement, op5_debruijn_spans,
-        op6_warc_dictionary, op7_language_codes, op8_simhash_components, op9_qgram_leaks, op10_radix_suffixes,
+        op6_warc_dictionary, op7_language_codes, op8_simhash_components, op9_qgram_leaks, op10_radix_suffixes, op12_descending_lcp_runs,
     )
 }
 ORACLES: dict[str, str] = {}
