@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "rollout", "texts", "decisions", "operations", "streams"]
+AREAS = ["evaluation", "rollout", "texts", "decisions", "search", "operations", "streams"]
 
 
 def _modules():

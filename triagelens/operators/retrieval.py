@@ -127,16 +127,20 @@ def _blocked(df: DataFrame, keys: list[str], ident: str, rows: int, name: str) -
     return df.join(sizes, keys).withColumn(name, F.pmod(F.xxhash64(ident), F.col(f"n_{name}")).cast("int"))
 
 
-def block_search(requests: DataFrame, chunks: DataFrame, payload: str, k: int, score, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_search(
+    requests: DataFrame, chunks: DataFrame, payload: str, k: int, score, schema: str, block_rows: int = BLOCK_ROWS, within: tuple[str, ...] = ()
+) -> DataFrame:
     """Exact top-k of a scoring function over each request's scope.
 
     Requests and chunks of one scope are cut into blocks and every pair of
     blocks is one group: the scoring runs inside the task and only ``k`` rows
     per request and chunk block leave it. Requests are repeated once per chunk
     block, chunks once per request block; no request/chunk pair is shuffled.
-    ``score(requests_pdf, chunks_pdf)`` gives the score matrix.
+    ``score(requests_pdf, chunks_pdf)`` gives the score matrix. ``within`` names
+    columns of both sides that must agree besides, such as an index cell; a
+    request may then have several rows.
     """
-    keys = ["tenant_id", "scope_key"]
+    keys = ["tenant_id", "scope_key", *within]
     q = _blocked(requests.withColumn("scope_key", _scope_key(F.col("scope"))), keys, "request_id", block_rows, "q_block")
     used = q.groupBy(*keys).agg(F.max("n_q_block").alias("n_q_block"))
     c = _scoped_chunks(chunks).withColumn("scope_key", _scope_key(F.col("scope"))).drop("scope")
@@ -173,17 +177,17 @@ def block_search(requests: DataFrame, chunks: DataFrame, payload: str, k: int, s
     return top_k(found, k, "score")
 
 
+def cosine_matrix(qs: pd.DataFrame, cs: pd.DataFrame) -> np.ndarray:
+    return np.stack(qs["q_vec"].to_numpy()) @ np.stack(cs["c_vec"].to_numpy()).T
+
+
 def dense_search(requests: DataFrame, chunks: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-k by cosine similarity of unit vectors within the scope.
 
     ``requests`` has scope and q_vec, ``chunks`` has c_vec (both unit length).
     """
-
-    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> np.ndarray:
-        return np.stack(qs["q_vec"].to_numpy()) @ np.stack(cs["c_vec"].to_numpy()).T
-
     found = block_search(
-        requests, chunks.select("chunk_id", "tenant_id", "section", "c_vec"), "vec", k, score,
+        requests, chunks.select("chunk_id", "tenant_id", "section", "c_vec"), "vec", k, cosine_matrix,
         "request_id string, chunk_id string, score double", block_rows)
     return found.withColumnRenamed("score", "dense_score")
 
