@@ -219,6 +219,8 @@ def service_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def service_events_from(events: DataFrame) -> DataFrame:
     et = F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("int")
+    answered = ~et.isin("click", "view")
     return events.select(
         F.col("event_id").cast("string").alias("request_id"),
         "event_id",
@@ -231,9 +233,15 @@ def service_events_from(events: DataFrame) -> DataFrame:
         F.when(et == "signup", "abstain").when(et == "purchase", "escalate").otherwise("recommend").alias("decision"),
         (F.col("value") / 100).alias("duration_seconds"),
         F.least(F.lit(1.0), F.col("value") / 500).alias("confidence"),
-        (F.get_json_object("props", "$.k").cast("int") + 1).alias("token_count"),
-        (F.get_json_object("props", "$.k").cast("int") % 10 == 0).alias("injection_blocked"),
-        (F.get_json_object("props", "$.k").cast("int") % 7 == 0).alias("guardrail"),
+        (k + 1).alias("token_count"),
+        (k % 10 == 0).alias("injection_blocked"),
+        (k % 7 == 0).alias("guardrail"),
+        F.when(answered, (k % 11) / 10).alias("faithfulness"),
+        F.when(answered, (k % 7) / 10).alias("hallucination"),
+        F.when(answered, (k % 5) / 4).alias("citation_coverage"),
+        F.when(et == "click", (k % 9) / 8).alias("evidence_score"),
+        F.when(et != "error", (k + 1) * 0.000002).alias("cost_dollars"),
+        (k % 3 == 0).cast("int").alias("breaker_state"),
     )
 
 

@@ -99,9 +99,13 @@ CTES: dict[str, str] = {
   CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
   CASE event_type WHEN 'signup' THEN 'abstain' WHEN 'purchase' THEN 'escalate' ELSE 'recommend' END AS decision,
   value / 100 AS duration_seconds, least(1.0::DOUBLE, value / 500) AS confidence,
-  CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS token_count,
-  CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 AS injection_blocked,
-  CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 = 0 AS guardrail FROM events""",
+  k + 1 AS token_count, k % 10 = 0 AS injection_blocked, k % 7 = 0 AS guardrail,
+  CASE WHEN event_type NOT IN ('click', 'view') THEN (k % 11) / 10::DOUBLE END AS faithfulness,
+  CASE WHEN event_type NOT IN ('click', 'view') THEN (k % 7) / 10::DOUBLE END AS hallucination,
+  CASE WHEN event_type NOT IN ('click', 'view') THEN (k % 5) / 4::DOUBLE END AS citation_coverage,
+  CASE WHEN event_type = 'click' THEN (k % 9) / 8::DOUBLE END AS evidence_score,
+  CASE WHEN event_type <> 'error' THEN (k + 1) * 0.000002::DOUBLE END AS cost_dollars,
+  CAST(k % 3 = 0 AS INTEGER) AS breaker_state FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
     "chunks": """
  SELECT 'doc_' || doc_id AS chunk_id, source AS tenant_id, lang AS section, 'd' || doc_id AS doc_id,
   CASE WHEN doc_id % 3 = 0 THEN 'runbook' ELSE 'external' END AS source,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -11,6 +13,7 @@ from ..sources import tables as T
 from ..sources.streams import event_stream
 from ..streaming import alerts as AL
 from ..streaming import audit as AU
+from ..streaming import metrics as MX
 from ..streaming import slo as SL
 from .ctes import with_ctes
 from .operations import LOCAL as OPS
@@ -59,20 +62,72 @@ def _quantile(q: float) -> str:
     return "CASE " + " ".join(cells) + f" ELSE {_BOUNDS[-1]}::DOUBLE END"
 
 
+_ANSWER_SUMS = ", ".join(f"sum({column}) AS {c}_sum, count({column}) AS {c}_n" for c, column in MX.ANSWERS.items())
+
+
+def _trailing() -> str:
+    wanted = {86400: ["n", "escalated", "tokens", "confidence"], 600: ["guarded"], 300: ["n", "errors", *[f"b{i}" for i in range(len(_BOUNDS))], "breaker"],
+              3600: ["n", "abstained", "escalated", "blocked", "tokens", "confidence", *[f"{c}_{x}" for c in MX.ANSWERS for x in ("sum", "n")]]}
+    return ", ".join(f"coalesce(sum({c}) FILTER (k < {s // 300}), 0) AS {c}_{s}" for s, columns in wanted.items() for c in columns)
+
+
+def _part(c: str, s: int, n: str = "n") -> str:
+    return f"(({c}_{s} / {s}::DOUBLE) / greatest({n}_{s} / {s}::DOUBLE, 0.001::DOUBLE))"
+
+
+def _five(q: float) -> str:
+    text = re.sub(r"\bb(\d+)\b", r"b\1_300", _quantile(q))
+    return f"CASE WHEN n_300 > 0 THEN {re.sub(r'\bn\b', 'n_300', text)} END"
+
+
+_METRIC = "round(CASE r.metric " + " ".join(f"WHEN '{m}' THEN h.{m}" for m in dict.fromkeys(r[1] for r in AL.RULES)) + " END, 9)"
+
 LOCAL: dict[str, str] = {
     "win_hour": _windows(3600, 300),
     "hour_rates": f"""SELECT window_end, service, n, {_ratio('errors', 3600)} AS error_rate, {_ratio('abstained', 3600)} AS abstain_rate, {_ratio('escalated', 3600)} AS escalation_rate,
   {_ratio('blocked', 3600)} AS injection_block_rate, guarded / 3600::DOUBLE AS guardrail_rate, {_ratio('tokens', 3600)} AS token_mean, {_ratio('confidence', 3600)} AS confidence_mean FROM win_hour""",
+    "p5": f"""SELECT service, (epoch_us(ts) // 1000000 // 300) * 300 + 300 AS e, count(*) AS n, count(*) FILTER (status >= 500) AS errors,
+  count(*) FILTER (decision = 'abstain') AS abstained, count(*) FILTER (decision = 'escalate') AS escalated, count(*) FILTER (injection_blocked) AS blocked,
+  count(*) FILTER (guardrail) AS guarded, sum(token_count)::DOUBLE AS tokens, sum(confidence) AS confidence, {_ANSWER_SUMS},
+  {', '.join(f"count(*) FILTER (duration_seconds <= {b}::DOUBLE) AS b{i}" for i, b in enumerate(_BOUNDS))}, arg_max(breaker_state, (ts, event_id)) AS breaker FROM svc GROUP BY ALL""",
+    "trail": f"""SELECT service, tick, {_trailing()} FROM (SELECT *, e + 300 * k AS tick FROM p5, (SELECT unnest(range(288)) AS k) WHERE e * 1000 <= (SELECT epoch_ms(max(ts)) FROM svc) - 600000)
+  WHERE tick * 1000 <= (SELECT epoch_ms(max(ts)) FROM svc) - 600000 GROUP BY 1, 2""",
+    "metric_rows": f"""SELECT make_timestamp(tick * 1000000) AS window_end, service, n_300 AS n, {_part('errors', 300)} AS error_rate, {_part('errors', 300)} AS model_error_rate,
+  {_five(0.5)} AS p50, {_five(0.95)} AS p95, {_five(0.99)} AS p99, n_300 / 300::DOUBLE AS throughput_5m, n_3600 / 3600::DOUBLE AS throughput_1h,
+  CASE WHEN n_300 / 300::DOUBLE < 0.1 AND n_3600 / 3600::DOUBLE > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS throughput_collapse,
+  {_part('abstained', 3600)} AS abstain_rate, {_part('escalated', 3600)} AS escalation_rate, {_part('blocked', 3600)} AS injection_block_rate, guarded_600 / 600::DOUBLE AS guardrail_rate,
+  abs({_part('tokens', 3600)} - {_part('tokens', 86400)}) / greatest({_part('tokens', 86400)}, 1.0::DOUBLE) AS input_drift,
+  abs({_part('confidence', 3600)} - {_part('confidence', 86400)}) AS confidence_drift, abs({_part('escalated', 3600)} - {_part('escalated', 86400)}) AS outcome_drift,
+  {', '.join(f"CASE WHEN {c}_n_3600 > 0 THEN {_part(f'{c}_sum', 3600, f'{c}_n')} END AS {c}" for c in MX.ANSWERS)}, breaker_300::DOUBLE AS breaker_state FROM trail""",
     "rule_rows": "SELECT * FROM (VALUES " + ", ".join(
-        f"('{n}', '{m}', {lim}::DOUBLE, {hold}, '{sev}', '{slo}', '{own}')" for n, m, op, lim, hold, sev, slo, own in AL.RULES
-        if m in ("error_rate", "abstain_rate", "injection_block_rate", "guardrail_rate")) + ") r(alertname, metric, lim, hold, severity, slo, owner)",
-    "breaches": """SELECT h.window_end, h.service, r.* FROM hour_rates h, rule_rows r WHERE CASE r.metric WHEN 'error_rate' THEN h.error_rate WHEN 'abstain_rate' THEN h.abstain_rate
-  WHEN 'injection_block_rate' THEN h.injection_block_rate ELSE h.guardrail_rate END > r.lim""",
+        f"('{n}', '{m}', '{op}', {lim}::DOUBLE, {hold}, '{sev}', '{slo}', '{own}')" for n, m, op, lim, hold, sev, slo, own in AL.RULES) + ") r(alertname, metric, op, lim, hold, severity, slo, owner)",
+    "breaches": f"""SELECT h.window_end, h.service, r.* FROM metric_rows h JOIN rule_rows r
+  ON (r.alertname NOT LIKE 'DecisionApi%' OR h.service = 'decision-api') AND (r.alertname NOT LIKE 'ModelServing%' OR h.service = 'decision-model-serving')
+  WHERE CASE WHEN r.op = '>' THEN {_METRIC} > r.lim ELSE {_METRIC} < r.lim END""",
     "fired": """SELECT *, epoch(window_end)::BIGINT - min(epoch(window_end)::BIGINT) OVER (PARTITION BY alertname, service, island) AS active_seconds FROM (
   SELECT *, epoch(window_end)::BIGINT - 300 * row_number() OVER (PARTITION BY alertname, service ORDER BY window_end) AS island FROM breaches)""",
 }
 
 
+def metric_table(spark, d):
+    """Every metric at every step that the stream of partial sums has closed."""
+    sums = SL.run_available(MX.step_sums(_events(spark, d), DELAY), "partials")
+    closed = A.table(spark, d, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr(f"INTERVAL {DELAY}")).alias("closed"))
+    return MX.metric_rows(sums).where(F.col("window_end") <= closed.scalar())
+
+
+def in_slices(spark, df, time: str, slices: int, late_seconds: int = 0) -> str:
+    """Write ``df`` as files of consecutive time ranges; with ``late_seconds`` half of the rows come that much later."""
+    t = F.unix_timestamp(F.col(time).cast("timestamp"))
+    ends = df.agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
+    late = F.when(F.pmod(F.xxhash64(time), F.lit(2)) == 0, late_seconds).otherwise(0)
+    part = F.floor((t + late - F.lit(ends["a"])) * slices / F.lit(max(1, ends["b"] - ends["a"] + 1)))
+    path = work_path(spark, "slices")
+    for k in range(slices):
+        df.where(F.least(part, F.lit(slices - 1)) == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _events(spark, d):
     return A.service_events_from(event_stream(spark, d, "events.parquet"))
 
@@ -99,16 +154,34 @@ def hour_rates(spark, d):
     return SL.rates(t, 3600).select("window_end", "service", "n", *_HOUR)
 
 
-def _over(c: str, s: int) -> str:
-    w = f"OVER (PARTITION BY service ORDER BY epoch(window_end)::BIGINT RANGE BETWEEN {s - 1} PRECEDING AND CURRENT ROW)"
-    return f"((sum({c}) {w} / {s}::DOUBLE) / greatest(sum(n) {w} / {s}::DOUBLE, 0.001::DOUBLE))"
+_HALF = 1800
+
 
+def _drift_side(seconds: int, tag: str) -> str:
+    means = ", ".join(f"{_ratio(c, seconds)} AS {c}_{tag}" for c in ("tokens", "confidence", "escalated"))
+    return f"SELECT window_end, service, {means} FROM ({_windows(seconds, _HALF)})"
 
-@register("st_input_confidence_drift", f"""SELECT {_STAMP}, service, round(abs(ts - tl) / greatest(tl, 1.0::DOUBLE), 9) AS input_drift, round(abs(cs - cl), 9) AS confidence_drift,
- round(abs(es - el), 9) AS outcome_drift FROM (SELECT window_end, service, {_over('tokens', 3600)} AS ts, {_over('tokens', 86400)} AS tl, {_over('confidence', 3600)} AS cs,
- {_over('confidence', 86400)} AS cl, {_over('escalated', 3600)} AS es, {_over('escalated', 86400)} AS el FROM ({_windows(300, 300)}))""", digits=9)
+
+@register("st_input_confidence_drift", f"""SELECT {_STAMP}, service, round(abs(tokens_s - tokens_l) / greatest(tokens_l, 1.0::DOUBLE), 9) AS input_drift,
+ round(abs(confidence_s - confidence_l), 9) AS confidence_drift, round(abs(escalated_s - escalated_l), 9) AS outcome_drift
+FROM ({_drift_side(3600, 's')}) JOIN ({_drift_side(86400, 'l')}) USING (window_end, service)""", digits=9)
 def _q(spark, d):
-    return SL.drift_from_partials(SL.run_available(SL.partial_sums(_events(spark, d), "5 minutes", DELAY), "partials"))
+    # four micro-batches, one for each file
+    events = event_stream(spark, in_slices(spark, A.table(spark, d, "events"), "ts", 4), max_files=1)
+    return SL.run_available(MX.drift_stream(A.service_events_from(events), DELAY, _HALF), "drift")
+
+
+_HOURLY = list(MX.ANSWERS)[:4]
+
+
+@register("st_rag_quality_means", f"SELECT {_STAMP}, service, {', '.join(f'round({c}, 9) AS {c}' for c in _HOURLY)} FROM metric_rows WHERE coalesce({', '.join(_HOURLY)}) IS NOT NULL", digits=9)
+def _q(spark, d):
+    return metric_table(spark, d).select("window_end", "service", *_HOURLY).dropna("all", subset=_HOURLY)
+
+
+@register("st_cost_mean", f"SELECT {_STAMP}, service, round(cost_per_request, 9) AS cost_per_request FROM metric_rows WHERE cost_per_request IS NOT NULL", digits=9)
+def _q(spark, d):
+    return metric_table(spark, d).select("window_end", "service", "cost_per_request").dropna()
 
 
 _FIRED = "strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end, alertname, service, active_seconds"
@@ -116,19 +189,22 @@ _FIRED = "strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end, alertname, se
 
 @register("st_alerts", f"SELECT {_FIRED}, severity, slo, owner FROM fired WHERE active_seconds >= hold")
 def _q(spark, d):
-    return AL.firing(AL.evaluations(hour_rates(spark, d)), 300).select("window_end", "alertname", "service", "active_seconds", "severity", "slo", "owner")
+    return AL.firing(AL.evaluations(metric_table(spark, d)), 300).select("window_end", "alertname", "service", "active_seconds", "severity", "slo", "owner")
+
 
+_LATE = 6 * 3600
 
-@register("st_alerts_stateful", f"SELECT {_FIRED} FROM fired WHERE active_seconds >= hold")
+
+@register("st_alerts_stateful", f"SELECT {_FIRED} FROM fired WHERE active_seconds >= hold AND epoch(window_end) < (SELECT max(epoch(window_end)) FROM breaches) - {_LATE}")
 def _q(spark, d):
-    path = work_path(spark, "hour-rates")
-    hour_rates(spark, d).coalesce(1).write.parquet(path)
-    return SL.run_available(AL.firing_stream(AL.evaluations(event_stream(spark, path)), 300), "firing")
+    # four files, in which half of the evaluations come two hours late
+    path = in_slices(spark, AL.evaluations(metric_table(spark, d)).where("breached"), "window_end", 4, 7200)
+    return SL.run_available(AL.firing_stream(event_stream(spark, path, max_files=1), 300, f"{_LATE} seconds"), "firing")
 
 
 @register("st_alert_history", """SELECT alertname, service, CAST(CAST(window_end AS DATE) AS VARCHAR) AS day, count(*) AS evaluations FROM fired WHERE active_seconds >= hold GROUP BY ALL""")
 def _q(spark, d):
-    return AL.alert_history(AL.firing(AL.evaluations(hour_rates(spark, d)), 300))
+    return AL.alert_history(AL.firing(AL.evaluations(metric_table(spark, d)), 300))
 
 
 @register("st_alert_grouping", """WITH g AS (SELECT strftime(make_timestamp((epoch(window_end)::BIGINT // 300) * 300 * 1000000), '%Y-%m-%d %H:%M:%S') AS group_start, alertname, severity, owner, slo,
@@ -136,7 +212,7 @@ def _q(spark, d):
 SELECT *, CASE WHEN severity = 'critical' THEN 'ops-pager-critical|' ELSE '' END || CASE owner WHEN 'model_oncall' THEN 'model-oncall-warning' ELSE 'platform-oncall-warning' END AS receivers
 FROM g WHERE NOT (severity = 'warning' AND EXISTS (SELECT 1 FROM g c WHERE c.severity = 'critical' AND c.alertname = g.alertname AND c.owner = g.owner AND c.group_start = g.group_start))""")
 def _q(spark, d):
-    return AL.alert_groups(AL.firing(AL.evaluations(hour_rates(spark, d)), 300))
+    return AL.alert_groups(AL.firing(AL.evaluations(metric_table(spark, d)), 300))
 
 
 # -- audits -----------------------------------------------------------------
@@ -199,11 +275,35 @@ def _q(spark, d):
     return SL.run_available(AU.dedupe_requests(e), "dedupe").groupBy("tenant_id", "request_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("st_handoff_state", """SELECT handoff_id, tenant_id, arg_max(queue_status, (changed_at, change_id)) AS queue_status, strftime(min(changed_at), '%Y-%m-%d %H:%M:%S') AS opened_at,
- strftime(min(changed_at) FILTER (queue_status IN ('resolved', 'closed')), '%Y-%m-%d %H:%M:%S') AS resolved_at,
- date_diff('second', min(changed_at), min(changed_at) FILTER (queue_status IN ('resolved', 'closed'))) AS seconds_to_resolution FROM changes GROUP BY 1, 2""")
+_DEADLINE, _IDLE, _SETTLE = 10 * 86400, 30 * 86400, 5 * 86400
+LOCAL |= {
+    "settled": f"""SELECT handoff_id, tenant_id, change_id, queue_status, changed_at, epoch(changed_at)::BIGINT AS t, (SELECT max(epoch(changed_at))::BIGINT FROM changes) - {_SETTLE} AS now FROM changes""",
+    "case_marks": f"""SELECT *, lag(t) OVER h AS before, coalesce(lag(queue_status) OVER h IN ('resolved', 'closed') OR t - lag(t) OVER h > {_IDLE}, TRUE) AS begins
+  FROM settled WHERE t < now WINDOW h AS (PARTITION BY handoff_id ORDER BY changed_at, change_id)""",
+    "case_changes": "SELECT *, count(*) FILTER (begins) OVER (PARTITION BY handoff_id ORDER BY changed_at, change_id) AS case_no FROM case_marks",
+    "handoff_cases": f"""SELECT handoff_id, case_no, min(t) AS opened, max(t) AS last, max(now) AS now, arg_max(tenant_id, (t, change_id)) AS tenant_id,
+  arg_max(queue_status, (t, change_id)) AS queue_status, bool_or(queue_status IN ('resolved', 'closed')) AS done FROM case_changes GROUP BY ALL""",
+    "overdue_at": f"""SELECT c.handoff_id, c.case_no, c.opened, arg_max(x.queue_status, (x.t, x.change_id)) AS queue_status, arg_max(x.tenant_id, (x.t, x.change_id)) AS tenant_id
+  FROM handoff_cases c JOIN case_changes x ON x.handoff_id = c.handoff_id AND x.case_no = c.case_no AND x.t <= c.opened + {_DEADLINE}
+  WHERE c.opened + {_DEADLINE} < c.now AND NOT (c.done AND c.last <= c.opened + {_DEADLINE}) GROUP BY ALL""",
+}
+
+
+def _case(source: str, event: str, at: str, where: str) -> str:
+    return f"""SELECT handoff_id, tenant_id, '{event}' AS event, queue_status, strftime(make_timestamp(opened * 1000000), '%Y-%m-%d %H:%M:%S') AS opened_at,
+ strftime(make_timestamp(({at}) * 1000000), '%Y-%m-%d %H:%M:%S') AS at, ({at}) - opened AS seconds FROM {source} WHERE {where}"""
+
+
+def _changes_stream(spark, d):
+    # four files, in which half of the changes come two days late
+    return event_stream(spark, in_slices(spark, _changes(spark, d), "changed_at", 4, 2 * 86400), max_files=1)
+
+
+@register("st_handoff_state", " UNION ALL ".join([
+    _case("handoff_cases", "resolved", "last", "done"), _case("overdue_at", "overdue", f"opened + {_DEADLINE}", "TRUE"),
+    _case("handoff_cases", "expired", f"last + {_IDLE}", f"NOT done AND last + {_IDLE} < now OR NOT done AND EXISTS (SELECT 1 FROM handoff_cases n WHERE n.handoff_id = handoff_cases.handoff_id AND n.case_no = handoff_cases.case_no + 1)")]))
 def _q(spark, d):
-    return AU.handoff_state(_changes(spark, d))
+    return SL.run_available(AU.handoff_cases(_changes_stream(spark, d), f"{_SETTLE} seconds", _DEADLINE, _IDLE), "cases")
 
 
 @register("src_event_stream", "SELECT service, count(*) AS n, round(sum(duration_seconds), 6) AS total FROM svc GROUP BY 1")

@@ -24,20 +24,25 @@ RULES: list[tuple[str, str, str, float, int, str, str, str]] = [
 ]
 
 
-def throughput_collapse(short_rps: Column, long_rps: Column) -> Column:
-    """1.0 where the short rate collapsed although the long one is healthy."""
-    return ((short_rps < 0.1) & (long_rps > 1)).cast("double")
+#: The service whose metrics a rule reads, by the start of its name; other rules read all.
+SERVICE_OF = {"DecisionApi": "decision-api", "ModelServing": "decision-model-serving"}
 
 
 def evaluations(metrics: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
-    """One row per rule and metric row: breached or not. Narrow."""
+    """One row per rule and metric row of its service: breached or not. Narrow."""
     have = set(metrics.columns)
-    cells = [
-        F.struct(F.lit(name).alias("alertname"),
-                 F.coalesce(F.col(m) > limit if op == ">" else F.col(m) < limit, F.lit(False)).alias("breached"),
-                 F.lit(hold).alias("hold_seconds"), F.lit(sev).alias("severity"), F.lit(slo).alias("slo"), F.lit(owner).alias("owner"))
-        for name, m, op, limit, hold, sev, slo, owner in rules or RULES if m in have]
-    return metrics.select("window_end", "service", F.inline(F.array(*cells)))
+    cells = []
+    for name, m, op, limit, hold, sev, slo, owner in rules or RULES:
+        if m not in have:
+            continue
+        # sums in another order must not decide at the limit itself
+        value = F.round(F.col(m), 9)
+        cell = F.struct(
+            F.lit(name).alias("alertname"), F.coalesce(value > limit if op == ">" else value < limit, F.lit(False)).alias("breached"),
+            F.lit(hold).alias("hold_seconds"), F.lit(sev).alias("severity"), F.lit(slo).alias("slo"), F.lit(owner).alias("owner"))
+        service = next((s for start, s in SERVICE_OF.items() if name.startswith(start)), None)
+        cells.append(cell if service is None else F.when(F.col("service") == service, cell))
+    return metrics.select("window_end", "service", F.inline(F.array_compact(F.array(*cells))))
 
 
 def firing(evals: DataFrame, step_seconds: int) -> DataFrame:
@@ -78,38 +83,56 @@ def alert_groups(fired: DataFrame, interval: str = "5 minutes") -> DataFrame:
 # -- streaming twin ---------------------------------------------------------
 
 
-def firing_stream(evals: DataFrame, step_seconds: int) -> DataFrame:
-    """``firing`` on a stream of evaluations: the run's start and last step are
-    the only state of a series. Rows of one batch are put in order first."""
+def firing_stream(evals: DataFrame, step_seconds: int, watermark: str) -> DataFrame:
+    """``firing`` on a stream of evaluations, in the order of event time.
+
+    Only breaches reach the state, as a good evaluation breaks a run like a missing one. They wait
+    in the state of their series until the watermark has passed them; a timer then takes the
+    waiting ones in order. So rows may come in any order and any split into batches, as long as
+    they are no later than ``watermark``. The state of a series is the run's start and last step
+    and the breaches that wait.
+    """
     import pandas as pd
-    from pyspark.sql import types as T
     from pyspark.sql.streaming import StatefulProcessor
 
     out = "alertname string, service string, window_end timestamp, active_seconds bigint"
 
     class Hold(StatefulProcessor):
         def init(self, handle):
-            self.run = handle.getValueState("run", T.StructType([T.StructField("since", T.LongType()), T.StructField("last", T.LongType())]))
+            self.handle = handle
+            self.run = handle.getValueState("run", "since bigint, last bigint")
+            self.waiting = handle.getListState("waiting", "at bigint, hold bigint")
 
         def handleInputRows(self, key, rows, timerValues):
-            frame = pd.concat(list(rows)).sort_values("window_end")
+            new = [(int(end.timestamp()), int(hold)) for frame in rows for end, hold in zip(frame["window_end"], frame["hold_seconds"])]
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0] * 1000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            # all that the watermark has passed is taken at once; later timers of the batch find nothing
+            passed = timerValues.getCurrentWatermarkInMs()
+            rows = sorted((r[0], r[1]) for r in self.waiting.get()) if self.waiting.exists() else []
+            due, rest = [r for r in rows if r[0] * 1000 < passed], [r for r in rows if r[0] * 1000 >= passed]
             since, last = self.run.get() if self.run.exists() else (-1, -1)
             hits = []
-            for end, breached, hold in zip(frame["window_end"], frame["breached"], frame["hold_seconds"]):
-                now = int(end.timestamp())
-                if not breached:
-                    since = -1
-                    continue
+            for now, hold in due:
                 if since < 0 or now - last > step_seconds:
                     since = now
                 last = now
                 if now - since >= hold:
-                    hits.append((key[0], key[1], end, now - since))
-            self.run.update((since, last))
+                    hits.append((key[0], key[1], pd.Timestamp(now, unit="s"), now - since))
+            if due:
+                self.run.update((since, last))
+                self.waiting.clear()
+                if rest:
+                    self.waiting.put(rest)
+                    self.handle.registerTimer(rest[0][0] * 1000)
             yield pd.DataFrame(hits, columns=["alertname", "service", "window_end", "active_seconds"])
 
         def close(self):
             pass
 
-    return evals.groupBy("alertname", "service").transformWithStateInPandas(
-        statefulProcessor=Hold(), outputStructType=out, outputMode="Append", timeMode="None")
+    timed = evals.where("breached").select("alertname", "service", "window_end", "hold_seconds").withWatermark("window_end", watermark)
+    return timed.groupBy("alertname", "service").transformWithStateInPandas(
+        statefulProcessor=Hold(), outputStructType=out, outputMode="Append", timeMode="EventTime")
