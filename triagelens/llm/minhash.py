@@ -10,10 +10,10 @@ at s = 0.8 a pair is missed with 1.2e-6, at 0.85 with 3e-8. Of the pairs that sh
 stay that agree in ``AGREE`` of all 56 minhashes (a pair of 0.8 fails with 1.2e-7) and whose sizes
 allow the similarity. What is left is verified on the full shingle sets.
 
-Equal sets are one entry. A list first gives a spanning forest of its candidates; after these are
-verified, only pairs that the verified links have not joined are tested, all of them. Long lists
-are split: each block has its own forest, and later the rows outside of the list's largest
-component meet every block.
+Equal sets are one entry. A list first gives a spanning forest of its candidates; of these a text's
+best one is verified, then the best between any two components. After that all candidates that
+verified links have not joined are tested where they meet, so only links leave a task. Long lists
+are split into blocks, and later into pairs of parts.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ TABLES, GROUP, AGREE = 14, 2, 28
 HASHES = 2 * TABLES * GROUP
 #: Members of a list that meet in one task, and pairs of one text that are verified in one.
 LONG, STAR = 4096, 256
+#: Shingles of the sets of one side that meet in one task.
+SETS = 1 << 20
 CHUNK = 1 << 20
 SKETCH = "key long, doc_id long, n int, w1 long, w2 long, keys array<long>, sig binary"
 MEMBERS = ["at", "key", "n", "sig"]
@@ -91,6 +93,10 @@ def matrix(sig: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
+def groups(keys: pa.Array) -> np.ndarray:
+    return keys.flatten().to_numpy().reshape(-1, TABLES)
+
+
 def alike(sig: np.ndarray, n: np.ndarray, x, y, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether rows ``x`` and ``y`` share a group of the second collection and may reach ``least``, and their agreements."""
     same = sig[x] == sig[y]
@@ -123,15 +129,19 @@ def pairs_batch(a, b, agree) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.asarray(agree, np.int32))], names=["a", "b", "agree"])
 
 
-def blocks(posted: DataFrame) -> DataFrame:
-    """``posted`` (at, key ...) where each list of more than ``LONG`` is dealt out to several, by its members' keys."""
-    many = stage(posted.groupBy("at").count().where(F.col("count") > LONG), "long-lists")
+def blocks(posted: DataFrame, many: DataFrame) -> DataFrame:
+    """``posted`` (at, key ...) where each list in ``many`` (at, count) is dealt out to several, by its members' keys."""
     part = F.pmod(F.xxhash64("key", "at"), F.ceil(F.col("count") / LONG))
     return posted.join(many, "at", "left").withColumn("at", F.when(F.col("count").isNotNull(), F.xxhash64("at", part)).otherwise(F.col("at"))).drop("count")
 
 
-def candidates(sets: DataFrame, least: int) -> DataFrame:
-    """(a, b, agree): spanning forests of the candidates in each list of ``sets`` (key, n, keys, sig)."""
+def long_lists(sets: DataFrame) -> DataFrame:
+    """(at, count) of the lists of ``sets`` (keys) with more than ``LONG`` members."""
+    return stage(sets.select(F.explode("keys").alias("at")).groupBy("at").count().where(F.col("count") > LONG), "long-lists")
+
+
+def candidates(sets: DataFrame, many: DataFrame, least: int) -> DataFrame:
+    """(a, b, agree): spanning forests of the candidates in each list, or block of a list, of ``sets`` (key, n, keys, sig)."""
 
     def run(batches):
         for (_, key, n, sig), sizes in lists(batches, MEMBERS):
@@ -149,7 +159,7 @@ def candidates(sets: DataFrame, least: int) -> DataFrame:
                     count.append(k)
             yield pairs_batch(*(np.concatenate(c) for c in (a, b, count)))
 
-    dealt = blocks(sets.select(F.explode("keys").alias("at"), "key", "n", "sig")).repartition(spread_width(sets.sparkSession), "at")
+    dealt = blocks(sets.select(F.explode("keys").alias("at"), "key", "n", "sig"), many).repartition(spread_width(sets.sparkSession), "at")
     found = map_batches(dealt.sortWithinPartitions("at").select(MEMBERS), run, "a long, b long, agree int")
     return stage(found.distinct(), "candidates")
 
@@ -158,7 +168,7 @@ def lists(batches, names: list[str]):
     """Columns of whole lists, of rows in the order of ``at``, the first of ``names``, and the size of each list."""
     kept = None
     for batch in batches:
-        now = [matrix(batch[c]) if c == "sig" else batch[c].to_numpy(zero_copy_only=False) for c in names]
+        now = [matrix(batch[c]) if c == "sig" else groups(batch[c]) if c == "keys" else batch[c].to_numpy(zero_copy_only=False) for c in names]
         if kept is not None:
             now = [np.concatenate(x) for x in zip(kept, now)]
         new = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
@@ -170,53 +180,93 @@ def lists(batches, names: list[str]):
         yield kept, np.array([len(kept[0])])
 
 
-def unjoined(sets: DataFrame, rooted: DataFrame, least: int) -> DataFrame:
-    """(a, b): every candidate pair of ``sets`` whose texts are in different components of ``rooted`` (node, root).
+def shingle_sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(key, grams) for those of ``docs`` (key, text) in ``keys``: the set's hashes, ascending, as bytes."""
 
-    In each list the rows outside of its largest component meet all others. A long list lies in
-    several blocks, to each of which those rows are sent.
+    def run(batches):
+        for batch in batches:
+            data, bounds = bytes_of(batch["text"])
+            for a, b in chunked(bounds, CHUNK):
+                doc, grams = distinct_grams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], size)
+                at = np.searchsorted(doc, np.arange(b - a + 1)) * 8
+                raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(grams)])
+                yield pa.RecordBatch.from_arrays([batch["key"][a:b], raw], names=["key", "grams"])
+
+    wanted = docs.select("key", "text").join(keys.select("key").hint("merge"), "key", "left_semi")
+    return map_batches(wanted, run, "key long, grams binary")
+
+
+def unjoined(docs: DataFrame, sets: DataFrame, found: DataFrame, many: DataFrame, rooted: DataFrame, size: int, least: int) -> DataFrame:
+    """(a, b): links, verified on full sets, between all candidates that ``rooted`` (node, root) has in different components.
+
+    In each list the rows outside of its largest component meet all others. Full sets travel
+    with the rows of such lists, so only links leave a task: one for each row and component, as
+    that joins them. A list whose sets are more than ``SETS`` shingles together is dealt out to
+    several tasks, each with a part of either side. A pair is tested in the first list it shares.
+    A text without any candidate in ``found`` has none in its lists, but for those ``many`` names,
+    where only blocks were looked at.
     """
-    known = sets.join(rooted.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    posted = known.select(F.explode("keys").alias("at"), "key", "root", "n", "sig")
-    shares = posted.groupBy("at", "root").count()
-    open_ = shares.groupBy("at").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("roots"))
-    open_ = stage(open_.where("roots > 1").drop("roots"), "open-lists")
-    width = F.ceil(F.col("rows") / LONG).cast("int")
-    own = F.pmod(F.xxhash64("key", "at"), width.cast("long")).cast("int")
-    guest = F.col("root") != F.col("main")
-    sent = posted.join(open_, "at").withColumn("guest", guest).withColumn("own", own)
-    sent = sent.withColumn("block", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), width - 1)).otherwise(F.array("own"))))
-    sent = sent.select(F.xxhash64("at", "block").alias("at"), "key", "root", "n", "guest", (F.col("block") == F.col("own")).alias("home"), "sig")
-    names = ["at", "key", "root", "n", "guest", "home", "sig"]
+    paired = found.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("paired", F.lit(True))
+    known = sets.join(rooted.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(paired, "key", "left")
+    posted = known.select(F.posexplode("keys").alias("number", "at"), "key", "root", "n", "paired").join(many, "at", "left")
+    posted = posted.where(F.col("paired") | F.col("count").isNotNull()).drop("paired", "count")
+    shares = posted.groupBy("at", "root").agg(F.sum("n").alias("grams"))
+    open_ = shares.groupBy("at").agg(F.max_by("root", F.struct("grams", "root")).alias("main"), F.sum("grams").alias("grams"), F.count(F.lit(1)).alias("roots"))
+    open_ = stage(open_.where("roots > 1").select("at", "main", F.ceil(F.col("grams") / SETS).cast("int").alias("parts")), "open-lists")
+    sent = stage(posted.join(open_, "at"), "open-rows")
+    full = stage(shingle_sets(docs, sent.select("key").distinct(), size), "open-sets")
+    own = F.pmod(F.xxhash64("key", "at"), F.col("parts").cast("long")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    # a row is host in its part of the hosts for each part of the guests, and a guest the other way round
+    host = F.transform(every, lambda q: F.struct(F.col("own").alias("p"), q.alias("q")))
+    guest = F.when(F.col("root") != F.col("main"), F.transform(every, lambda p: F.struct(p.alias("p"), F.col("own").alias("q"))))
+    cells = F.array_distinct(F.concat(host, F.coalesce(guest, F.array().cast("array<struct<p:int,q:int>>"))))
+    dealt = sent.withColumn("own", own).withColumn("cell", F.explode(cells))
+    dealt = dealt.select(
+        F.xxhash64("at", "cell").alias("at"), "number", "key", "root", "n", (F.col("cell.p") == F.col("own")).alias("host"),
+        ((F.col("cell.q") == F.col("own")) & (F.col("root") != F.col("main"))).alias("guest"))
+    names = ["at", "number", "key", "root", "n", "host", "guest", "keys", "sig", "grams"]
+    whole = full.join(sets.select("key", "keys", "sig"), "key")
+    dealt = dealt.join(whole, "key").repartition(spread_width(docs.sparkSession), "at")
 
     def run(batches):
-        for (_, key, root, n, guest, home, sig), sizes in lists(batches, names):
-            n = n.astype(np.int64)
+        for columns, sizes in lists(batches, names):
+            a, b, agree = [], [], []
             edges = np.concatenate([[0], np.cumsum(sizes)])
-            a, b, held = [], [], 0
             for lo, hi in zip(edges[:-1][sizes > 1].tolist(), edges[1:][sizes > 1].tolist()):
-                hosts = lo + np.flatnonzero(home[lo:hi])
-                for g in (lo + np.flatnonzero(guest[lo:hi])).tolist():
-                    y = hosts[root[hosts] != root[g]]
-                    near, _ = alike(sig, n, y, g, least)
-                    y = y[near]
-                    a.append(np.full(len(y), key[g]))
-                    b.append(key[y])
-                    held += len(y)
-                    if held > 1 << 18:
-                        yield distinct_pairs(a, b)
-                        a, b, held = [], [], 0
-            if a:
-                yield distinct_pairs(a, b)
-
-    dealt = sent.repartition(spread_width(sets.sparkSession), "at").sortWithinPartitions("at").select(names)
-    return stage(map_batches(dealt, run, "a long, b long, agree int").select("a", "b").distinct(), "unjoined")
-
-
-def distinct_pairs(a: list, b: list) -> pa.RecordBatch:
-    a, b = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pairs_batch(both[:, 0], both[:, 1], np.zeros(len(both)))
+                for x, y in links_across(*(c[lo:hi] for c in columns[1:]), least):
+                    a.append(x)
+                    b.append(y)
+                    agree.append(0)
+            yield pairs_batch(a, b, agree)
+
+    found = map_batches(dealt.sortWithinPartitions("at").select(names), run, "a long, b long, agree int")
+    return stage(found.select("a", "b").distinct(), "unjoined")
+
+
+def links_across(number, key, root, n, host, guest, keys, sig, grams, least: int):
+    """(a, b) keys of links between the guests and the hosts of one list; each guest is linked to a component once."""
+    n = n.astype(np.int64)
+    hosts = np.flatnonzero(host)
+    first = int(number[0])
+    for g in np.flatnonzero(guest).tolist():
+        left = hosts[root[hosts] != root[g]]
+        near, agree = alike(sig, n, left, g, least)
+        near &= ~(keys[left, :first] == keys[g, :first]).any(1)
+        left = left[near][np.argsort(-agree[near], kind="stable")]
+        own = np.frombuffer(grams[g], np.uint64)
+        step = 16
+        while len(left):
+            some, left = left[:step], left[step:]
+            whole = np.frombuffer(b"".join(grams[some]), np.uint64)
+            place = np.minimum(np.searchsorted(own, whole), len(own) - 1)
+            both = np.add.reduceat(own[place] == whole, np.cumsum(n[some]) - n[some], dtype=np.int64)
+            linked = some[100 * both >= least * (n[some] + n[g] - both)]
+            if len(linked):
+                for r in np.unique(root[linked]).tolist():
+                    yield key[g], key[linked[root[linked] == r][0]]
+                left = left[~np.isin(root[left], root[linked])]
+            step = 1024
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFrame:
@@ -253,7 +303,8 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFr
                             b_out.append(keys[k])
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    texts = docs.select("key", "text").join(ends, "key").repartition(spread_width(docs.sparkSession), "block")
+    # said to be a merge at every size, as the ends grow with the texts
+    texts = docs.select("key", "text").join(ends.hint("merge"), "key").repartition(spread_width(docs.sparkSession), "block")
     # two centres whose blocks share a hash stay apart by the centre's key
     order = [F.col("block"), F.coalesce("partner", "key"), F.col("partner").asc_nulls_first()]
     return stage(map_batches(texts.sortWithinPartitions(*order).select("key", "partner", "text"), run, "a long, b long"), "linked")
@@ -265,28 +316,28 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> Da
     whole = ["n", "w1", "w2"]
     sets = seen.where("n > 0").groupBy(*whole).agg(F.min("key").alias("key"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     sets = stage(sets, "sets")
-    found = candidates(sets, least)
+    many = long_lists(sets)
+    found = candidates(sets, many, least)
     # one link for each text to begin with, to the partner that agrees most; most of the others are joined by then
     best = found.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     linked = verified(docs, best, size, least)
     rooted = components(linked)
-    tested = best
-    for more in (lambda: across(found, rooted), lambda: unjoined(sets, rooted, least)):
-        fresh = stage(more().join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            continue
-        linked = linked.unionByName(verified(docs, fresh, size, least))
-        tested = tested.unionByName(fresh)
-        rooted = components(linked)
+    linked = linked.unionByName(verified(docs, across(found, rooted), size, least))
+    rooted = components(linked)
+    more = unjoined(docs, sets, found, many, rooted, size, least)
+    if not more.isEmpty():
+        rooted = components(linked.unionByName(more))
     roots = sets.join(rooted, F.col("key") == F.col("node"), "left").select(*whole, F.coalesce("root", "key").alias("root"))
     return seen.join(roots, whole, "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root"))
 
 
 def across(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that ``rooted`` (node, root) has in different components."""
+    """Of ``pairs`` (a, b, agree) between any two components of ``rooted`` (node, root) the one that agrees most."""
     for end in ("a", "b"):
         pairs = pairs.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+    apart = pairs.where(ra != rb).groupBy(F.least(ra, rb).alias("x"), F.greatest(ra, rb).alias("y"))
+    return apart.agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
