@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from .. import vocab as V
+from ..functions import backends as B
 from ..functions import embedding as M
 from ..functions import quality as Q
 from ..functions import scoring as S
@@ -132,6 +133,18 @@ def _q(spark, d):
     return e.select("chunk_id", folded.alias("folded"), F.greatest(F.lit(0.0), F.array_max("embedding")).alias("top"), used.alias("used"))
 
 
+ORACLES["embedding_backend"] = ORACLES["hash_embedding"]
+
+
+@register("embedding_backend")
+def _q(spark, d):
+    # the same vectors from a Python model behind the Arrow backend
+    e = B.ArrowEmbedding(B.hash_model()).add(A.doc_chunks(spark, d).select("chunk_id", "text_content"), "chunk_id", "text_content", "embedding")
+    folded = F.aggregate(F.transform("embedding", lambda v, i: F.when(i % 2 == 0, v).otherwise(-v)), F.lit(0.0), lambda a, v: a + v)
+    used = F.size(F.filter("embedding", lambda v: F.abs(v) > 1e-9))
+    return e.select("chunk_id", folded.alias("folded"), F.greatest(F.lit(0.0), F.array_max("embedding")).alias("top"), used.alias("used"))
+
+
 @register("sparse_search", "SELECT request_id, chunk_id, round(score, 9) AS sparse_score, rank FROM sparse_all WHERE rank <= 15", digits=9)
 def _q(spark, d):
     return R.sparse_search(scoped(spark, d), R.inverted_index(A.doc_chunks(spark, d)), 15)
@@ -395,6 +408,16 @@ def _q(spark, d):
     return r.select("request_id", *[F.get("route_probs", F.lit(i)).alias(f"p{i}") for i in range(_N)])
 
 
+ORACLES["routing_model"] = ORACLES["linear_router"]
+
+
+@register("routing_model")
+def _q(spark, d):
+    # the same model as Python code behind the Arrow router
+    r = B.ArrowRouter(B.linear_model(V.ROUTING_MODEL, V.ROUTES)).add(A.support_requests(spark, d))
+    return r.select("request_id", *[F.get("route_probs", F.lit(i)).alias(f"p{i}") for i in range(_N)])
+
+
 @register("heuristic_router", "SELECT request_id, " + ", ".join(f"round(h{i}, 6) AS p{i}" for i in range(_N)) + ", round(h_esc, 6) AS escalation FROM sup_scored")
 def _q(spark, d):
     r = A.support_requests(spark, d).withColumn("p", S.heuristic_routes(F.col("issue_text"), V.ROUTE_KEYWORDS))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .evaluation import confidence_bin, optional_filter, ratio, section_key
+from .percentiles import exact_percentiles
 
 # The seeded KPI targets.
 KPI_TARGETS = [
@@ -173,8 +174,8 @@ def labelled_kpis(dataset: DataFrame, s: Scope) -> DataFrame:
     """The seven KPIs that come from labelled rows, from one scan.
 
     Rows collapse to (window, bucket, handling seconds) counts first; rates are
-    sums over those counts and percentiles take the counts as weights, so the
-    last step works on at most 13 buckets times the distinct handling times.
+    sums over those counts and percentiles narrow down on the counts of each
+    handling time, so no task holds all of them.
     """
     correct = F.col("is_route_correct")
     bucket = F.when(correct.isNotNull(), confidence_bin(F.col("final_confidence"))).otherwise(F.lit(-1))
@@ -200,8 +201,10 @@ def labelled_kpis(dataset: DataFrame, s: Scope) -> DataFrame:
     def before(c: str) -> Column:
         return F.sum(F.when(~cur, F.col(c)))
 
+    times = exact_percentiles(per.select("is_current", F.col("resolution_seconds").cast("double").alias("value"), "n"), ["is_current"], [0.5, 0.9])
+
     def pct(p: float, side: Column) -> Column:
-        return F.percentile(F.when(side, F.col("resolution_seconds").cast("double")), F.lit(p), F.col("n"))
+        return times.where(side & (F.col("share") == p)).select("value").scalar()
 
     bins = per.filter(cur & (F.col("bin_id") >= 0)).groupBy("bin_id").agg(
         F.sum("n").alias("n"), F.sum("n_correct").alias("c"), F.sum("sum_conf").alias("f"))
@@ -215,9 +218,8 @@ def labelled_kpis(dataset: DataFrame, s: Scope) -> DataFrame:
         now("n_pred").alias("n_pred"), now("n_actual").alias("n_actual"), now("n_tp").alias("n_tp"),
         ratio(F.sum(F.when(cur, F.col("n_escalate"))), F.sum(F.when(cur, F.col("n")))).alias("esc_now"),
         ratio(before("n_escalate"), before("n")).alias("esc_base"),
-        pct(0.5, cur).alias("p50_now"), pct(0.9, cur).alias("p90_now"),
-        pct(0.5, ~cur).alias("p50_base"), pct(0.9, ~cur).alias("p90_base"),
-    )
+    ).withColumns({"p50_now": pct(0.5, cur), "p90_now": pct(0.9, cur), "p50_base": pct(0.5, ~cur), "p90_base": pct(0.9, ~cur)})
+
     def reduction(base: str, now_: str) -> Column:
         return (F.col(base) - F.col(now_)) / F.nullif(F.col(base), F.lit(0.0))
 

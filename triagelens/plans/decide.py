@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions import embedding as M
+from ..functions import backends as B
 from ..functions import quality as Q
 from ..functions import safety as P
 from ..functions import scoring as S
@@ -22,12 +22,13 @@ class DecideConfig:
     top_k: int = 5
     canary_percent: int = 0
     routes: list[str] = field(default_factory=lambda: list(V.ROUTES))
-    dim: int = 64
     stale_days: int = R.STALE_DAYS
+    embedding: B.EmbeddingBackend = field(default_factory=B.HashEmbedding)
+    router: B.RoutingModel | None = None
 
 
-def with_vectors(df: DataFrame, key: str, text: str, out: str, dim: int = 64) -> DataFrame:
-    return df.join(M.embed(df, [key], text, dim, out), key)
+def with_vectors(df: DataFrame, key: str, text: str, out: str, backend: B.EmbeddingBackend | None = None) -> DataFrame:
+    return (backend or B.HashEmbedding()).add(df, key, text, out)
 
 
 def retrieve_batch(requests: DataFrame, chunks: DataFrame, cfg: DecideConfig) -> DataFrame:
@@ -41,8 +42,8 @@ def retrieve_batch(requests: DataFrame, chunks: DataFrame, cfg: DecideConfig) ->
     scoped = R.candidate_scope(requests.select("request_id", "tenant_id", "section", "issue_text"), chunks)
     sparse = R.sparse_search(scoped, R.inverted_index(chunks), wide)
     dense = R.dense_search(
-        with_vectors(scoped, "request_id", "issue_text", "q_vec", cfg.dim),
-        with_vectors(chunks.select("chunk_id", "tenant_id", "section", "text_content"), "chunk_id", "text_content", "c_vec", cfg.dim)
+        with_vectors(scoped, "request_id", "issue_text", "q_vec", cfg.embedding),
+        with_vectors(chunks.select("chunk_id", "tenant_id", "section", "text_content"), "chunk_id", "text_content", "c_vec", cfg.embedding)
         .drop("text_content"), wide)
     fused = R.rrf_fuse(sparse, dense, cfg.top_k * R.OVERSAMPLE).withColumn("score", F.round("score", 4))
     body = chunks.select("chunk_id", "doc_id", "source", "updated_at", F.col("section").alias("chunk_section"), "text_content")
@@ -83,14 +84,13 @@ def _scored(df: DataFrame, probs: str, escalation, labels: list[str], prefix: st
 
 def score_requests(requests: DataFrame, packs: DataFrame, cfg: DecideConfig) -> DataFrame:
     """Primary (linear) and challenger (heuristic) scores per request."""
-    spark = requests.sparkSession
     labels = cfg.routes
     empty = F.array().cast(dict(packs.dtypes)["evidence"])
     base = requests.join(packs, "request_id", "left").withColumn("evidence", F.coalesce("evidence", empty))
     base = base.withColumn("evidence_score", F.round(F.when(
         F.size("evidence") > 0,
         F.aggregate("evidence", F.lit(0.0), lambda a, e: a + e["score"]) / F.size("evidence")).otherwise(0.0), 4))
-    d = S.linear_router(base, S.weights_frame(spark, V.ROUTING_MODEL), V.ROUTING_MODEL["bias"], labels, V.ROUTING_CALIBRATION)
+    d = (cfg.router or B.LinearRouter(labels)).add(base)
     d = d.withColumn("shadow_probs", S.heuristic_routes(F.col("issue_text"), {n: V.ROUTE_KEYWORDS.get(n, []) for n in labels}))
     probs, fallback = S.fallback_scoring(F.col("route_probs"), F.col("shadow_probs"))
     d = d.withColumn("used_fallback", fallback).withColumn("route_probs", probs)
