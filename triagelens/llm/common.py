@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelens.session import stage
 
-__all__ = ["buckets_by_id", "by_bucket", "keyed", "map_batches", "read", "spread_width", "stage", "tokenizer_path"]
+__all__ = ["buckets_by_id", "by_bucket", "keyed", "map_batches", "read", "rows_again", "spread_width", "stage", "tokenizer_path"]
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -70,13 +70,20 @@ def by_bucket(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("bucket").cast("int"))
 
 
+def rows_again(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of a table from its ``keyed`` rows (text, missing, row)."""
+    text = F.when(~F.col("missing"), F.col("text")).alias("text")
+    return rows.select(*[text if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
     """(key, doc_id, text): an ascending unique long for each row, by doc_id (null first), then text.
 
     The key is doc_id itself where that is unique and never null; otherwise rows are numbered
-    range by range. A null text is empty. Other columns go, or stay in the struct ``row``.
+    range by range. A null text is empty. Other columns go, or stay in the struct ``row``, with
+    doc_id as it was, beside ``missing``, which tells null texts; see ``rows_again``.
     """
-    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").isNull().alias("missing")] if rows else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *kept)
     seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if seen["rows"] == seen["ids"]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import keyed, map_batches, read, spread_width, stage
+from triagelens.llm.common import keyed, map_batches, read, rows_again, spread_width, stage
 from triagelens.llm.graph import components
 from triagelens.llm.rolling import Rolling, byte_values, bytes_of, chunked, mix, word_spans
 
@@ -410,7 +410,7 @@ def first_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFra
     """
     rows = keyed(docs, rows=True)
     kept = similar_classes(rows, size, least).where("key = root").select("key")
-    return rows.select("key", "row").join(kept, "key", "left_semi").select("row.*")
+    return rows_again(rows.join(kept, "key", "left_semi"), docs.columns)
 
 
 def op8_simhash_components(spark, sf_dir: str) -> DataFrame:

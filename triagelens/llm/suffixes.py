@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from triagelens.llm.common import keyed, map_batches, read
+from triagelens.llm.common import keyed, map_batches, read, rows_again
 from triagelens.llm.repeats import Shape, covered, with_marks
 from triagelens.llm.rolling import bytes_of, chunked
 
@@ -70,8 +70,9 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     stay, with an empty text; a null text stays null. ``n_chars``, if there, is counted anew.
     """
     shape = shape_of(threshold)
-    marked = with_marks(keyed(docs, rows=True), shape).select("text", "marks", "row")
-    names = docs.columns
+    # doc_id stays, so that this shuffle of the texts is the one that the passes made
+    marked = with_marks(keyed(docs, rows=True), shape).select("doc_id", "text", "missing", "row", "marks")
+    counted = "n_chars" in docs.columns
 
     def cut(batches):
         for batch, a, b, data, own, gone in marked_batches(shape, batches):
@@ -79,16 +80,16 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 # a character goes only if all its bytes do
                 lead = np.flatnonzero((data & 0xC0) != 0x80)
                 gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
-            row = batch["row"][a:b]
-            columns = dict(zip(names, row.flatten()))
-            texts = [data[x:y][~gone[x:y]].tobytes().decode() for x, y in zip(own[:-1], own[1:])]
-            columns["text"] = pc.if_else(columns["text"].is_valid(), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
-            if "n_chars" in columns:
-                columns["n_chars"] = pc.if_else(columns["text"].is_valid(), pc.utf8_length(columns["text"]).cast(columns["n_chars"].type), columns["n_chars"])
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([columns[c] for c in names], fields=list(row.type))], names=["row"])
-
-    schema = marked.select("row").schema
-    return map_batches(marked, cut, schema).select("row.*")
+            texts = pa.array([data[x:y][~gone[x:y]].tobytes().decode() for x, y in zip(own[:-1], own[1:])], pa.string())
+            row, missing = batch["row"][a:b], batch["missing"][a:b]
+            if counted:
+                columns = dict(zip([f.name for f in row.type], row.flatten()))
+                kept = columns["n_chars"]
+                columns["n_chars"] = pc.if_else(missing, kept, pc.utf8_length(texts).cast(kept.type))
+                row = pa.StructArray.from_arrays(list(columns.values()), fields=list(row.type))
+            yield pa.RecordBatch.from_arrays([texts, missing, row], names=["text", "missing", "row"])
+
+    return rows_again(map_batches(marked, cut, marked.select("text", "missing", "row").schema), docs.columns)
 
 
 def op10_radix_suffixes(spark, sf_dir: str) -> DataFrame:
