@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -13,7 +16,9 @@ from ..functions import scoring as S
 from ..operators import replay as RP
 from ..operators import retrieval as R
 from ..plans import decide as D
-from ..session import stage
+from ..session import stage, work_path
+from ..sources.streams import event_stream
+from ..streaming import decide as DS
 from . import texts as TX
 from .ctes import r4, with_ctes
 from .shape import shaped
@@ -646,9 +651,60 @@ def _q(spark, d):
     return hits.select("request_id", "tenant_id", "response")
 
 
-@register("decide_batch")
+# -- the whole plan ---------------------------------------------------------
+
+def _copies(names: list[str], prefix: str, swaps: dict[str, str]) -> dict[str, str]:
+    """The named CTEs once more under a prefix, over other tables."""
+    to = swaps | {n: prefix + n for n in names}
+    pattern = re.compile(r"\b(" + "|".join(to) + r")\b")
+    return {prefix + n: pattern.sub(lambda m: to[m[1]], LOCAL[n]) for n in names}
+
+
+_SEARCH = ["scoped", "pass_emb", "pass_terms", "sparse_all", "dense_all", "fused", "pass_words", "fused_close", "greedy", "thinned", "pass_tc",
+           "pass_grams", "damped", "reranked", "retrieved"]
+LOCAL |= _copies(_SEARCH, "own_", {"passages": "sup_requests"})
+LOCAL["own_pack"] = """SELECT r.request_id, list(struct_pack(rank := r.rank, chunk_id := r.chunk_id, score := r.score, source := c.source, text := c.text_content) ORDER BY r.rank) AS ev
+  FROM own_retrieved r JOIN chunks c USING (chunk_id) GROUP BY 1"""
+LOCAL |= _copies(["sup_base", "sup_scored", "sup_models", "sup_policy", "sup_decided", "sup_final"], "own_", {"sup_pack": "own_pack"})
+for _p in ("sup", "own_sup"):
+    LOCAL[f"{_p}_drafts"] = f"SELECT request_id, draft FROM {_p}_final WHERE draft IS NOT NULL"
+    LOCAL[f"{_p}_clean"] = f"SELECT request_id, o AS clean, len(v) AS violations FROM ({TX._validate_sql(f'{_p}_drafts', 'request_id', 'draft')})"
+_RESULT = """SELECT f.request_id, f.tenant_id, f.decision, coalesce(array_to_string(f.reason_codes, '|'), '') AS reason_codes,
+ CASE WHEN is_canary THEN 'challenger' ELSE 'primary' END AS model_variant, f.top_label, round(f.confidence, 6) AS confidence, len(f.ev) AS evidence_count,
+ coalesce(c.violations, 0) AS draft_violations, md5(coalesce(c.clean, '')) AS draft_md5 FROM {0}_final f LEFT JOIN {0}_clean c ON c.request_id = f.request_id"""
+
+
+def _result(frame):
+    return frame.select(
+        "request_id", "tenant_id", "decision", "reason_codes", "model_variant", "top_label", "confidence", F.size("evidence").alias("evidence_count"),
+        F.coalesce("draft_violations", F.lit(0)).alias("draft_violations"), F.md5(F.coalesce("draft", F.lit(""))).alias("draft_md5"))
+
+
+@register("decide_batch", "WITH RECURSIVE " + _RESULT.format("own_sup"))
+def _q(spark, d):
+    return _result(D.decide_batch(A.support_requests(spark, d), A.doc_chunks(spark, d), CFG)["results"])
+
+
+def _stream(spark, d):
+    """Three micro-batches of requests, decided with the evidence of their own conversations."""
+    path, out = work_path(spark, "requests"), work_path(spark, "decided")
+    requests = A.support_requests(spark, d)
+    for k in range(3):
+        requests.where(F.pmod(F.crc32("request_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+    DS.decide_stream(event_stream(spark, path, max_files=1), A.doc_chunks(spark, d), CFG, out, packs=A.simple_packs(spark, d)).awaitTermination()
+    return out
+
+
+@register("st_decide", _RESULT.format("sup"))
+def _q(spark, d):
+    return _result(DS.decided_rows(spark, _stream(spark, d), "results"))
+
+
+@register("st_decide_outputs", """SELECT 'results' AS output, request_id FROM sup_final UNION ALL SELECT 'shadow', request_id FROM sup_final
+UNION ALL SELECT 'audit', request_id FROM sup_final UNION ALL SELECT 'drafts', request_id FROM sup_drafts
+UNION ALL SELECT 'handoffs', request_id FROM sup_final WHERE decision <> 'recommend'
+UNION ALL SELECT 'events', request_id FROM sup_final UNION ALL SELECT 'events', request_id FROM sup_final WHERE decision <> 'recommend'""")
 def _q(spark, d):
-    out = D.decide_batch(A.support_requests(spark, d), A.doc_chunks(spark, d), CFG)
-    return out["results"].select(
-        "request_id", "tenant_id", "decision", "reason_codes", "model_variant", "top_label", "confidence", "escalation", "evidence_score",
-        F.size("evidence").alias("evidence_count"), "pii_redacted", "injection_risk", F.md5(F.coalesce("draft", F.lit(""))).alias("draft_md5"))
+    out = _stream(spark, d)
+    rows = [DS.decided_rows(spark, out, n).select(F.lit(n).alias("output"), "request_id") for n in DS.OUTPUTS]
+    return reduce(lambda a, b: a.unionByName(b), rows)

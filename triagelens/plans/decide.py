@@ -13,9 +13,14 @@ from ..functions import quality as Q
 from ..functions import safety as P
 from ..functions import scoring as S
 from ..operators import retrieval as R
+from ..operators.replay import idempotent_replay
 from ..session import stage
 
 
+# Fixed value: injection risk of a request from which on it counts as blocked.
+BLOCK_RISK = 0.7
+
+
 @dataclass(frozen=True)
 class DecideConfig:
     as_of: str
@@ -152,29 +157,54 @@ def decide(scored: DataFrame) -> DataFrame:
     }).drop("_p")
 
 
-def decide_batch(requests: DataFrame, chunks: DataFrame, cfg: DecideConfig) -> dict[str, DataFrame]:
-    """Results, shadow predictions, hand-offs and events for a request table."""
+def decide_batch(
+    requests: DataFrame, chunks: DataFrame, cfg: DecideConfig, stored: DataFrame | None = None, packs: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Every output for a table of requests.
+
+    ``stored`` (requests with their response) answers repeated requests first: they are
+    ``replayed`` and take no further part. ``packs`` (request_id, evidence) stands in for the
+    retrieval. ``results`` carry the draft as sanitized by the output check; ``audit`` has a row
+    for each decided request: what was redacted, blocked, filtered and found wrong.
+    """
+    out: dict[str, DataFrame] = {}
+    if stored is not None:
+        out["replayed"], requests = idempotent_replay(requests, stored)
     scanned = P.scan_injection(P.redact_pii(requests, "issue_text"), "issue_text", sanitize=False)
     flagged = scanned.withColumn("pii_redacted", F.col("redacted_count") > 0).withColumnRenamed("risk_score", "injection_risk")
-    evidence = P.evidence_filter(retrieve_batch(requests, chunks, cfg))
+    found = None
+    if packs is None:
+        found = stage(retrieve_batch(requests, chunks, cfg), "evidence")
+        packs = evidence_packs(P.evidence_filter(found))
     # Both are read by several outputs: written once to the shared folder.
-    scored = stage(score_requests(requests, evidence_packs(evidence), cfg), "scored")
-    decided = stage(
-        decide(scored).join(flagged.select("request_id", "pii_redacted", "injection_risk"), "request_id"), "decided")
-    draft = P.validate_output(
+    scored = stage(score_requests(requests, packs, cfg), "scored")
+    decided = decide(scored).join(flagged.select("request_id", "pii_redacted", "injection_risk"), "request_id")
+    drafts = stage(P.validate_output(
         Q.answer_quality(
             decided.filter(F.col("draft").isNotNull()).withColumn("_texts", F.transform("evidence", lambda e: e["text"])),
             "draft", "issue_text", "_texts").drop("_texts"),
-        "draft")
-    return {
+        "draft"), "drafts")
+    clean = drafts.select("request_id", "clean_text", F.size("violations").alias("draft_violations"))
+    decided = stage(decided.join(clean, "request_id", "left").withColumn("draft", F.col("clean_text")).drop("clean_text"), "decided")
+    counts = decided.select("request_id", F.size("evidence").alias("evidence_count"))
+    if found is None:
+        counts = counts.withColumn("evidence_filtered", F.lit(0).cast("long"))
+    else:
+        before = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("before"))
+        counts = counts.join(before, "request_id", "left").withColumn(
+            "evidence_filtered", F.coalesce("before", F.lit(0)) - F.col("evidence_count")).drop("before")
+    return out | {
         "results": decided,
-        "drafts": draft,
+        "drafts": drafts,
         "shadow": shadow_rows(scored),
         "handoffs": decided.filter(F.col("handoff_summary").isNotNull()).select(
             F.concat_ws("-", F.lit("handoff"), "request_id").alias("handoff_id"), "request_id", "tenant_id", "reason_codes",
             F.to_json(F.struct(F.col("handoff_summary").alias("summary"), "routes", "escalation")).alias("handoff_payload"),
             F.lit("open").alias("queue_status")),
         "events": decision_events(decided),
+        "audit": decided.select(
+            "request_id", "tenant_id", "decision", "pii_redacted", "injection_risk", (F.col("injection_risk") >= BLOCK_RISK).alias("injection_blocked"),
+            F.coalesce("draft_violations", F.lit(0)).alias("draft_violations")).join(counts, "request_id"),
     }
 
 
