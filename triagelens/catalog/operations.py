@@ -14,9 +14,11 @@ from ..operators import monitoring as M
 from ..session import stage, work_path
 from ..sources import feeds as FD
 from ..sources import tables as T
+from ..streaming import audit as AU
 from . import texts as TX
 from .ctes import with_ctes
 from .evaluation import LOCAL as EV
+from .evaluation import ece_sql
 from .shape import shaped
 
 QUERIES: dict = {}
@@ -364,6 +366,22 @@ def _q(spark, d):
     return A.inference_requests(spark, d).select("tenant_id").subtract(h.select("tenant_id"))
 
 
+@register("set_intersection", "SELECT DISTINCT tenant_id, section FROM inf_requests INTERSECT SELECT DISTINCT tenant_id, section FROM eval_ds")
+def _q(spark, d):
+    return A.inference_requests(spark, d).select("tenant_id", "section").intersect(A.evaluation_dataset(spark, d).select("tenant_id", "section"))
+
+
+@register("set_subset", """SELECT tenant_id, count(*) AS users, bool_and(user_id IN (SELECT user_id FROM svc WHERE stage = 'retrieval')) AS is_subset
+FROM (SELECT DISTINCT tenant_id, user_id FROM svc WHERE stage = 'generation') GROUP BY 1""")
+def _q(spark, d):
+    # a set is a subset if nothing of it is left after the join with the other
+    e = A.service_events(spark, d)
+    small = e.where(F.col("stage") == "generation").select("tenant_id", "user_id").distinct()
+    large = e.where(F.col("stage") == "retrieval").select("user_id", F.lit(True).alias("held")).distinct()
+    return small.join(large, "user_id", "left").groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("users"), F.bool_and(F.coalesce("held", F.lit(False))).alias("is_subset"))
+
+
 @register("union_all", "SELECT source, count(*) AS n FROM pred_events GROUP BY 1")
 def _q(spark, d):
     e = E.prediction_events(A.inference_requests(spark, d), A.inference_results(spark, d), A.shadow_predictions(spark, d))
@@ -431,35 +449,77 @@ def _q(spark, d):
 # -- monitoring -------------------------------------------------------------
 
 
-@register("metric_counters", """SELECT 'assist_decisions_total' AS metric, service, decision AS label, count(*) AS value FROM svc GROUP BY ALL UNION ALL
-SELECT 'assist_http_requests_total', service, CAST(status AS VARCHAR), count(*) FROM svc GROUP BY ALL UNION ALL
-SELECT 'assist_model_guardrail_fallback_total', service, stage, count(*) FROM svc WHERE guardrail GROUP BY ALL""")
+_COUNTERS = {  # metric: label, filter
+    "assist_decisions_total": ("decision", "TRUE"), "assist_http_requests_total": ("CAST(status AS STRING)", "TRUE"),
+    "assist_model_guardrail_fallback_total": ("stage", "guardrail"), "assist_http_request_errors_total": ("event_kind", "status >= 500"),
+    "assist_handoffs_total": ("CAST(stage = 'generation' AS STRING)", "decision <> 'recommend'"),
+    "assist_injection_detections_total": ("'blocked'", "injection_blocked"),
+}
+
+
+@register("metric_counters", " UNION ALL ".join(
+    f"SELECT '{name}' AS metric, service, {label.replace('STRING', 'VARCHAR').replace('event_kind', chr(39) + 'HTTPError' + chr(39))} AS label, count(*) AS value FROM svc WHERE {when} GROUP BY ALL"
+    for name, (label, when) in _COUNTERS.items()) + """ UNION ALL
+SELECT 'assist_shadow_predictions_total', 'decision-api', traffic_bucket, count(*) FROM shadow GROUP BY 3 UNION ALL
+SELECT 'assist_decision_cache_hits_total', service, 'replayed', sum(n - 1)::BIGINT FROM (SELECT service, tenant_id, user_id, stage, count(*) AS n FROM svc GROUP BY ALL HAVING count(*) > 1) GROUP BY 2 UNION ALL
+SELECT 'assist_circuit_breaker_trips_total', service, stage, count(*) FROM (SELECT service, stage, island FROM (
+ SELECT service, stage, duration_seconds > 0.35 AS failed, count(*) FILTER (NOT duration_seconds > 0.35) OVER (PARTITION BY service, stage ORDER BY ts, event_id) AS island FROM svc)
+ WHERE failed GROUP BY ALL HAVING count(*) >= 5) GROUP BY 2, 3""")
 def _q(spark, d):
-    e = A.service_events(spark, d)
-    return T.union_all([
-        M.metric_counters(e.withColumn("label", F.col("decision")), ["service", "label"], "assist_decisions_total"),
-        M.metric_counters(e.withColumn("label", F.col("status").cast("string")), ["service", "label"], "assist_http_requests_total"),
-        M.metric_counters(e.withColumn("label", F.col("stage")), ["service", "label"], "assist_model_guardrail_fallback_total", F.col("guardrail"))])
+    e = A.service_events(spark, d).withColumn("event_kind", F.lit("HTTPError"))
+    plain = [M.metric_counters(e.withColumn("label", F.expr(label)), ["service", "label"], name, F.expr(when)) for name, (label, when) in _COUNTERS.items()]
+    shadow = A.shadow_predictions(spark, d).select(F.lit("decision-api").alias("service"), F.col("traffic_bucket").alias("label"))
+    repeats = e.groupBy("service", "tenant_id", "user_id", "stage").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+    hits = repeats.groupBy("service", F.lit("replayed").alias("label")).agg(F.sum("n").alias("value")).withColumn("metric", F.lit("assist_decision_cache_hits_total"))
+    outcomes = e.select(F.concat_ws("|", "service", "stage").alias("target"), "ts", "event_id", (F.col("duration_seconds") > 0.35).alias("failed"))
+    runs = AU.failure_runs(outcomes, "target").select(F.split_part("target", F.lit("|"), F.lit(1)).alias("service"), F.split_part("target", F.lit("|"), F.lit(2)).alias("label"))
+    return T.union_all([x.select("metric", "service", "label", "value") for x in (
+        *plain, M.metric_counters(shadow, ["service", "label"], "assist_shadow_predictions_total"), hits,
+        M.metric_counters(runs, ["service", "label"], "assist_circuit_breaker_trips_total"))])
 
 
-def _hist_sql(name: str, expr: str) -> str:
-    bounds = V.HISTOGRAM_BUCKETS[name]
-    parts = [f"SELECT service, '{float(b)!r}' AS le, count(*) FILTER ({expr} <= {float(b)!r}::DOUBLE) AS cumulative, round(sum({expr}), 6) AS total_sum FROM svc GROUP BY service" for b in bounds]
-    parts.append(f"SELECT service, '+Inf', count(*), round(sum({expr}), 6) FROM svc GROUP BY service")
-    return f"SELECT '{name}' AS metric, * FROM (" + " UNION ALL ".join(parts) + ")"
+#: The ten histograms and the telemetry each counts; events without a value are left out.
+_HISTOGRAMS = {
+    "http_request_duration_seconds": "duration_seconds", "issue_text_token_count": "token_count", "decision_confidence": "confidence",
+    "pipeline_stage_duration_seconds": "duration_seconds", "pipeline_total_duration_seconds": "duration_seconds", "request_cost_dollars": "cost_dollars",
+    "rag_faithfulness": "faithfulness", "rag_hallucination_ratio": "hallucination", "rag_citation_coverage": "citation_coverage",
+    "retrieval_evidence_score": "evidence_score",
+}
 
 
-@register("metric_histograms", _hist_sql("http_request_duration_seconds", "duration_seconds") + " UNION ALL " + _hist_sql("issue_text_token_count", "token_count::DOUBLE")
-          + " UNION ALL " + _hist_sql("decision_confidence", "confidence"))
-def _q(spark, d):
-    e = A.service_events(spark, d)
-    return T.union_all([M.metric_histogram(e, F.col(c), n, ["service"]) for n, c in (
-        ("http_request_duration_seconds", "duration_seconds"), ("issue_text_token_count", "token_count"), ("decision_confidence", "confidence"))])
+def _hist_sql(name: str, column: str) -> str:
+    bounds, expr = V.HISTOGRAM_BUCKETS[name], f"{column}::DOUBLE"
+    label = "stage" if name.startswith("pipeline_stage") else "''"
+    cells = "[" + ", ".join(f"{{'le': '{float(b)!r}', 'n': count(*) FILTER ({expr} <= {float(b)!r}::DOUBLE)}}" for b in bounds) + ", {'le': '+Inf', 'n': count(*)}]"
+    return f"""SELECT '{name}' AS metric, service, label, c.le AS le, c.n AS cumulative, total_sum FROM (
+ SELECT service, {label} AS label, round(sum({expr}), 6) AS total_sum, unnest({cells}) AS c FROM svc WHERE {column} IS NOT NULL GROUP BY 1, 2)"""
 
 
-@register("metric_gauges", "SELECT 'assist_inflight' AS metric, service, stage, round(arg_max(duration_seconds, (ts, event_id)), 6) AS value FROM svc GROUP BY ALL")
+@register("metric_histograms", " UNION ALL ".join(_hist_sql(n, c) for n, c in _HISTOGRAMS.items()))
 def _q(spark, d):
-    return M.metric_gauge(A.service_events(spark, d), F.col("duration_seconds"), "assist_inflight", ["service", "stage"], ["ts", "event_id"])
+    e = A.service_events(spark, d)
+    return T.union_all([
+        M.metric_histogram(e.where(F.col(c).isNotNull()).withColumn("label", F.col("stage") if n.startswith("pipeline_stage") else F.lit("")), F.col(c), n, ["service", "label"])
+        for n, c in _HISTOGRAMS.items()])
+
+
+@register("metric_gauges", """SELECT 'assist_inflight_requests' AS metric, service, stage AS label, round(arg_max(duration_seconds, (ts, event_id)), 6) AS value FROM svc GROUP BY ALL UNION ALL
+SELECT 'assist_circuit_breaker_state', service, stage, arg_max(breaker_state, (ts, event_id))::DOUBLE FROM svc GROUP BY ALL UNION ALL
+SELECT 'assist_abstain_rate', service, '', round(count(*) FILTER (decision = 'abstain')::DOUBLE / count(*), 6) FROM svc GROUP BY ALL UNION ALL
+SELECT 'assist_routing_accuracy', 'decision-api', model_variant, round(arg_max(v, eval_date), 6) FROM (
+ SELECT model_variant, eval_date, avg(is_route_correct::INTEGER) AS v FROM eval_ds WHERE is_route_correct IS NOT NULL GROUP BY ALL) GROUP BY 3 UNION ALL
+SELECT 'assist_calibration_ece', 'decision-api', model_variant, round(ece, 6) FROM (""" + ece_sql("eval_ds", "model_variant") + ")")
+def _q(spark, d):
+    e, ds = A.service_events(spark, d), A.evaluation_dataset(spark, d)
+    abstain = e.groupBy("service", F.lit("").alias("label")).agg((F.count_if(F.col("decision") == "abstain") / F.count(F.lit(1))).alias("value"))
+    daily = ds.where(F.col("is_route_correct").isNotNull()).groupBy("model_variant", "eval_date").agg(F.avg(F.col("is_route_correct").cast("int")).alias("v"))
+    accuracy = M.metric_gauge(daily.select(F.lit("decision-api").alias("service"), F.col("model_variant").alias("label"), "eval_date", "v"), F.col("v"), "assist_routing_accuracy", ["service", "label"], ["eval_date"])
+    ece = E.ece(ds, ["model_variant"]).select(F.lit("decision-api").alias("service"), F.col("model_variant").alias("label"), F.col("ece").alias("value"))
+    staged = e.withColumn("label", F.col("stage"))
+    return T.union_all([x.select("metric", "service", "label", F.col("value").cast("double").alias("value")) for x in (
+        M.metric_gauge(staged, F.col("duration_seconds"), "assist_inflight_requests", ["service", "label"], ["ts", "event_id"]),
+        M.metric_gauge(staged, F.col("breaker_state"), "assist_circuit_breaker_state", ["service", "label"], ["ts", "event_id"]),
+        abstain.withColumn("metric", F.lit("assist_abstain_rate")), accuracy, ece.withColumn("metric", F.lit("assist_calibration_ece")))])
 
 
 @register("probe_summary", """SELECT tenant_id, total, ok, round(mean_latency_ms, 6) AS mean_latency_ms, p50_latency_ms, p95_latency_ms, round(error_rate, 6) AS error_rate,

@@ -54,12 +54,12 @@ _STAMP = "strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end"
 _BOUNDS = V.HISTOGRAM_BUCKETS["http_request_duration_seconds"]
 
 
-def _quantile(q: float) -> str:
+def _quantile(q: float, bounds: list[float] = _BOUNDS) -> str:
     cells = []
-    for i, b in enumerate(_BOUNDS):
-        below, low = (f"b{i - 1}", _BOUNDS[i - 1]) if i else ("0", 0.0)
+    for i, b in enumerate(bounds):
+        below, low = (f"b{i - 1}", bounds[i - 1]) if i else ("0", 0.0)
         cells.append(f"WHEN b{i} >= {q} * n THEN {low}::DOUBLE + {b - low}::DOUBLE * coalesce(({q} * n - {below}) / nullif(b{i} - {below}, 0)::DOUBLE, 0)")
-    return "CASE " + " ".join(cells) + f" ELSE {_BOUNDS[-1]}::DOUBLE END"
+    return "CASE " + " ".join(cells) + f" ELSE {bounds[-1]}::DOUBLE END"
 
 
 _ANSWER_SUMS = ", ".join(f"sum({column}) AS {c}_sum, count({column}) AS {c}_n" for c, column in MX.ANSWERS.items())
@@ -145,6 +145,26 @@ def _q(spark, d):
     return SL.run_available(SL.latency_quantiles(_events(spark, d), "1 hour", "15 minutes", ["service", "stage"], DELAY), "latency")
 
 
+def _quantiles_sql(histogram: str, keys: str) -> str:
+    """p50, p95 and p99 over five minutes from the buckets of a histogram."""
+    bounds = V.HISTOGRAM_BUCKETS[histogram]
+    counts = "".join(f", count(*) FILTER (duration_seconds <= {b}::DOUBLE) AS b{i}" for i, b in enumerate(bounds))
+    shown = ", ".join(f"round({_quantile(q, bounds)}, 6) AS {name}" for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")))
+    return f"SELECT {_STAMP}, {keys}, n, {shown} FROM ({_windows(300, 60, keys, counts)})"
+
+
+@register("st_stage_latency", _quantiles_sql("pipeline_stage_duration_seconds", "service, stage"))
+def _q(spark, d):
+    return SL.run_available(SL.latency_quantiles(
+        _events(spark, d), "5 minutes", "1 minute", ["service", "stage"], DELAY, "pipeline_stage_duration_seconds"), "stage-latency")
+
+
+@register("st_pipeline_latency", _quantiles_sql("pipeline_total_duration_seconds", "service"))
+def _q(spark, d):
+    return SL.run_available(SL.latency_quantiles(
+        _events(spark, d), "5 minutes", "1 minute", ["service"], DELAY, "pipeline_total_duration_seconds"), "pipeline-latency")
+
+
 _HOUR = ["error_rate", "abstain_rate", "escalation_rate", "injection_block_rate", "guardrail_rate", "token_mean", "confidence_mean"]
 
 
