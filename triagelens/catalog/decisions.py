@@ -430,6 +430,19 @@ def _q(spark, d):
                     S.heuristic_escalation(F.col("issue_text"), F.array_max("p")).alias("escalation"))
 
 
+_LABELS = [*V.ROUTES, *[r[0] for r in V.INTENTS]]
+_LABEL_K = [f"k{i}" for i in range(len(_LABELS))]
+
+
+@register("intent_router", f"""SELECT request_id, l.label AS label, round(l.p, 6) AS prob FROM (SELECT request_id, unnest([{', '.join(
+    f"{{'label': {q(n)}, 'p': {x}}}" for n, x in zip(_LABELS, softmax_sql(_LABEL_K)))}]) AS l FROM (
+ SELECT request_id, {', '.join(f'0.2::DOUBLE + {hits_sql("low", t)} * 1.2::DOUBLE AS k{i}' for i, t in enumerate(S.label_keywords(_LABELS).values()))} FROM sup_words))""")
+def _q(spark, d):
+    p = S.heuristic_routes(F.col("issue_text"), S.label_keywords(_LABELS))
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in _LABELS]).alias("label"), p.alias("prob"))
+    return A.support_requests(spark, d).select("request_id", F.inline(named).alias("label", "prob"))
+
+
 @register("escalation_model", "SELECT request_id, round(p_esc, 6) AS escalation FROM sup_scored")
 def _q(spark, d):
     s = scored(spark, d)

@@ -104,6 +104,12 @@ def escalation_model(text: Column, top_prob: Column, top_evidence: Column, model
     return let(tokenize(text), score)
 
 
+def label_keywords(labels: list[str]) -> dict[str, list[str]]:
+    """Keywords of each label: those of the intent of that name and those of the route."""
+    intents = {row[0]: row[4] for row in V.INTENTS}
+    return {n: [*intents.get(n, []), *V.ROUTE_KEYWORDS.get(n, [])] for n in labels}
+
+
 def heuristic_routes(text: Column, keywords: dict[str, list[str]]) -> Column:
     """Softmax of keyword hits per label, in the order of ``keywords``."""
     return let(F.lower(text), lambda low: softmax(F.array(*[

@@ -96,7 +96,7 @@ def score_requests(requests: DataFrame, packs: DataFrame, cfg: DecideConfig) ->
         F.size("evidence") > 0,
         F.aggregate("evidence", F.lit(0.0), lambda a, e: a + e["score"]) / F.size("evidence")).otherwise(0.0), 4))
     d = (cfg.router or B.LinearRouter(labels)).add(base)
-    d = d.withColumn("shadow_probs", S.heuristic_routes(F.col("issue_text"), {n: V.ROUTE_KEYWORDS.get(n, []) for n in labels}))
+    d = d.withColumn("shadow_probs", S.heuristic_routes(F.col("issue_text"), S.label_keywords(labels)))
     probs, fallback = S.fallback_scoring(F.col("route_probs"), F.col("shadow_probs"))
     d = d.withColumn("used_fallback", fallback).withColumn("route_probs", probs)
     top_evidence = F.get(F.col("evidence"), F.lit(0))["score"]
