@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,15 +60,52 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_base(spark)}/triagelens/{name}-{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage and lets several consumers share one computation; the files
-    outlive a lost executor.
+    outlive a lost executor. The shuffles of the write are dropped at its end.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    had = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if had is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, had)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(result: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``result()`` staged, and all that was staged to make it deleted.
+
+    For a result that is small against its intermediate tables; nothing else may still read those.
     """
-    path = work_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _SCOPES.append([])
+    try:
+        df = result()
+        spark = df.sparkSession
+        out = stage(df, name)
+    finally:
+        spent = _SCOPES.pop()
+    *spent, kept = spent
+    if _SCOPES:
+        _SCOPES[-1].append(kept)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    for path in spent:
+        old = paths(path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
