@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelens.session import stage
+from triagelens.session import released, stage
 
-__all__ = ["buckets_by_id", "by_bucket", "keyed", "map_batches", "read", "rows_again", "spread_width", "stage", "tokenizer_path"]
+__all__ = ["buckets_by_id", "by_bucket", "keyed", "map_batches", "read", "released", "rows_again", "spread_width", "stage", "tokenizer_path"]
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import keyed, map_batches, read, spread_width, stage
+from triagelens.llm.common import keyed, map_batches, read, released, spread_width, stage
 from triagelens.llm.graph import components
 from triagelens.llm.rolling import bytes_of, chunked, mix
 from triagelens.llm.simhash import distinct_grams
@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) ->
     their own, ordered by text, of which one of each component is kept; other columns are
     ignored; an empty table gives no rows. Shingles are compared by 64-bit hashes.
     """
-    found = similar_sets(keyed(docs), size, least)
+    rows = keyed(docs)
+    found = released(lambda: similar_sets(rows, size, least), "components")
     names = found.where("key = root").select("root", F.col("doc_id").alias("component_id"))
     joined = found.join(names, "root")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("key") == F.col("root")).alias("kept"))

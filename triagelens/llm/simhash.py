@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import keyed, map_batches, read, rows_again, spread_width, stage
+from triagelens.llm.common import keyed, map_batches, read, released, rows_again, spread_width, stage
 from triagelens.llm.graph import components
 from triagelens.llm.rolling import Rolling, byte_values, bytes_of, chunked, mix, word_spans
 
@@ -409,7 +409,7 @@ def first_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFra
     Null texts and texts without words all stay, as nothing is known of them.
     """
     rows = keyed(docs, rows=True)
-    kept = similar_classes(rows, size, least).where("key = root").select("key")
+    kept = released(lambda: similar_classes(rows, size, least).where("key = root").select("key"), "kept")
     return rows_again(rows.join(kept, "key", "left_semi"), docs.columns)
 
 
