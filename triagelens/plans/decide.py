@@ -21,6 +21,10 @@ from ..session import stage
 BLOCK_RISK = 0.7
 
 
+#: The hash embedding as one narrow step; ``HashEmbedding`` gives the same vectors by three regroupings.
+NARROW = B.ArrowEmbedding(B.hash_model())
+
+
 @dataclass(frozen=True)
 class DecideConfig:
     as_of: str
@@ -28,12 +32,12 @@ class DecideConfig:
     canary_percent: int = 0
     routes: list[str] = field(default_factory=lambda: list(V.ROUTES))
     stale_days: int = R.STALE_DAYS
-    embedding: B.EmbeddingBackend = field(default_factory=B.HashEmbedding)
+    embedding: B.EmbeddingBackend = field(default_factory=lambda: NARROW)
     router: B.RoutingModel | None = None
 
 
 def with_vectors(df: DataFrame, key: str, text: str, out: str, backend: B.EmbeddingBackend | None = None) -> DataFrame:
-    return (backend or B.HashEmbedding()).add(df, key, text, out)
+    return (backend or NARROW).add(df, key, text, out)
 
 
 def retrieve_batch(requests: DataFrame, chunks: DataFrame, cfg: DecideConfig) -> DataFrame:
