@@ -11,6 +11,7 @@ NAMES = [
     "metrics_left_ece", "daily_eval_dataset", "drift_metrics", "scorecard", "promote_canary", "stage_progression", "readiness_gate",
     "recalibrate", "redact_pii", "scan_injection", "answer_quality", "build_corpus", "sparse_search", "dense_search", "decide",
     "upsert_latest", "capture_outcome", "metric_histograms", "st_error_rate", "st_failure_runs", "st_throttle_audit", "st_alerts_stateful",
+    "routing_model", "embedding_backend", "metric_gauges", "metric_counters", "set_subset", "positional_postings", "st_pipeline_latency",
 ]
 
 
