@@ -106,7 +106,8 @@ def firing_stream(evals: DataFrame, step_seconds: int, watermark: str) -> DataFr
         def handleInputRows(self, key, rows, timerValues):
             new = [(int(end.timestamp()), int(hold)) for frame in rows for end, hold in zip(frame["window_end"], frame["hold_seconds"])]
             self.waiting.appendList(new)
-            self.handle.registerTimer(min(new)[0] * 1000)
+            # a timer may fire when the watermark is at its time; one millisecond later that time has passed
+            self.handle.registerTimer(min(new)[0] * 1000 + 1)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -127,7 +128,8 @@ def firing_stream(evals: DataFrame, step_seconds: int, watermark: str) -> DataFr
                 self.waiting.clear()
                 if rest:
                     self.waiting.put(rest)
-                    self.handle.registerTimer(rest[0][0] * 1000)
+            if rest:
+                self.handle.registerTimer(rest[0][0] * 1000 + 1)
             yield pd.DataFrame(hits, columns=["alertname", "service", "window_end", "active_seconds"])
 
         def close(self):
