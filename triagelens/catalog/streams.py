@@ -174,12 +174,9 @@ def hour_rates(spark, d):
     return SL.rates(t, 3600).select("window_end", "service", "n", *_HOUR)
 
 
-_HALF = 1800
-
-
 def _drift_side(seconds: int, tag: str) -> str:
     means = ", ".join(f"{_ratio(c, seconds)} AS {c}_{tag}" for c in ("tokens", "confidence", "escalated"))
-    return f"SELECT window_end, service, {means} FROM ({_windows(seconds, _HALF)})"
+    return f"SELECT window_end, service, {means} FROM ({_windows(seconds, 300)})"
 
 
 @register("st_input_confidence_drift", f"""SELECT {_STAMP}, service, round(abs(tokens_s - tokens_l) / greatest(tokens_l, 1.0::DOUBLE), 9) AS input_drift,
@@ -188,7 +185,7 @@ FROM ({_drift_side(3600, 's')}) JOIN ({_drift_side(86400, 'l')}) USING (window_e
 def _q(spark, d):
     # four micro-batches, one for each file
     events = event_stream(spark, in_slices(spark, A.table(spark, d, "events"), "ts", 4), max_files=1)
-    return SL.run_available(MX.drift_stream(A.service_events_from(events), DELAY, _HALF), "drift")
+    return SL.run_available(MX.drift_stream(A.service_events_from(events), DELAY), "drift")
 
 
 _HOURLY = list(MX.ANSWERS)[:4]
