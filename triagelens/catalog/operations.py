@@ -363,12 +363,14 @@ def _q(spark, d):
 @register("set_difference", """SELECT DISTINCT tenant_id FROM inf_requests EXCEPT SELECT DISTINCT tenant_id FROM handoffs WHERE queue_status = 'open' AND tenant_id < 't3'""")
 def _q(spark, d):
     h = A.handoffs(spark, d).filter((F.col("queue_status") == "open") & (F.col("tenant_id") < "t3"))
-    return A.inference_requests(spark, d).select("tenant_id").subtract(h.select("tenant_id"))
+    # sets, not their rows, are compared: a tenant is one row on either side of the join
+    return A.inference_requests(spark, d).select("tenant_id").distinct().subtract(h.select("tenant_id").distinct())
 
 
 @register("set_intersection", "SELECT DISTINCT tenant_id, section FROM inf_requests INTERSECT SELECT DISTINCT tenant_id, section FROM eval_ds")
 def _q(spark, d):
-    return A.inference_requests(spark, d).select("tenant_id", "section").intersect(A.evaluation_dataset(spark, d).select("tenant_id", "section"))
+    return A.inference_requests(spark, d).select("tenant_id", "section").intersect(
+        A.evaluation_dataset(spark, d).select("tenant_id", "section").distinct())
 
 
 @register("set_subset", """SELECT tenant_id, count(*) AS users, bool_and(user_id IN (SELECT user_id FROM svc WHERE stage = 'retrieval')) AS is_subset
