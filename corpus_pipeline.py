@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group whose five-word shingles are 0.8 alike or more."""
+    """The first document of each group whose five-word shingles are 0.8 alike or more: SimHash partners, verified, then an exact check."""
     return first_of_each(docs)
 
 

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as P
 from tests.llm import brute as B
 from tests.llm.test_operators import corpus, frame
-from triagelens.llm import simhash, suffixes
+from triagelens.llm import minhash, simhash, suffixes
 
 
 def test_rows_come_back_whole(spark):
@@ -59,3 +59,24 @@ def test_repeated_spans_stage_equals_plain_version(spark):
         want[doc_id] = "".join(out)
     null = {d for d, t in rows if t is None}
     assert got == {d: None if d in null else t for d, t in want.items() if d in null or t != ""}
+
+
+def test_near_duplicates_come_from_the_index(spark, monkeypatch):
+    """With nothing from the exact check that follows, the fingerprints' partners alone join near copies; before, they had no part in it."""
+    base = [f"word{k * k % 977}x{k}" for k in range(3000)]
+    near = [*base[:1500], "changed", *base[1501:]]
+    other = [f"other{k}" for k in range(3000)]
+    docs = frame(spark, [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(near).upper()), (5, None)])
+    pairs = {tuple(r) for r in simhash.fingerprint_pairs(simhash.keyed(docs)).collect()}
+    assert pairs == {(1, 2), (2, 4)} or pairs == {(1, 2), (1, 4)}
+    real = minhash.candidates
+    monkeypatch.setattr(minhash, "candidates", lambda sets, many, least: real(sets.limit(0), many, least))
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == [1, 3, 5]
+
+
+def test_proposed_pairs_below_the_similarity_join_nothing(spark):
+    rows = [(k, " ".join(f"w{k}_{i}" for i in range(40))) for k in range(6)] + [(9, " ".join(f"w0_{i}" for i in range(40)) + " end")]
+    docs = simhash.keyed(frame(spark, rows))
+    proposed = spark.createDataFrame([(0, 1), (1, 2), (0, 9), (9, 9)], "a long, b long")
+    got = {r["key"]: r["root"] for r in minhash.similar_sets(docs, 5, 80, proposed).collect()}
+    assert got == {**{k: k for k in range(6)}, 9: 0}

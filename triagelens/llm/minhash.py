@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from triagelens.llm.common import keyed, map_batches, read, released, spread_width, stage
 from triagelens.llm.graph import components
-from triagelens.llm.rolling import bytes_of, chunked, mix
-from triagelens.llm.simhash import distinct_grams
+from triagelens.llm.rolling import bytes_of, chunked, distinct_grams, mix
 
 SHINGLE, LEAST = 4, 80
 #: Groups in each of the two collections, minhashes in a group, and minhashes that must agree of all.
@@ -310,8 +309,11 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFr
     return stage(map_batches(texts.sortWithinPartitions(*order).select("key", "partner", "text"), run, "a long, b long"), "linked")
 
 
-def similar_sets(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """(key, doc_id, n, root) for ``docs`` (key, doc_id, text); root is the least key of the component."""
+def similar_sets(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, proposed: DataFrame | None = None) -> DataFrame:
+    """(key, doc_id, n, root) for ``docs`` (key, doc_id, text); root is the least key of the component.
+
+    Pairs ``proposed`` (a, b) by another method are verified first; what they join is not tested again.
+    """
     seen = stage(sketches(docs, size), "sketches")
     whole = ["n", "w1", "w2"]
     sets = seen.where("n > 0").groupBy(*whole).agg(F.min("key").alias("key"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
@@ -319,8 +321,14 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> Da
     many = long_lists(sets)
     found = candidates(sets, many, least)
     # one link for each text to begin with, to the partner that agrees most; most of the others are joined by then
-    best = found.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    linked = verified(docs, best, size, least)
+    if proposed is None:
+        linked, open_ = None, found
+    else:
+        linked = verified(docs, between_sets(proposed, seen, sets, whole), size, least)
+        open_ = apart(found, components(linked))
+    best = open_.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
+    fresh = verified(docs, best, size, least)
+    linked = fresh if linked is None else linked.unionByName(fresh)
     rooted = components(linked)
     linked = linked.unionByName(verified(docs, across(found, rooted), size, least))
     rooted = components(linked)
@@ -331,13 +339,25 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> Da
     return seen.join(roots, whole, "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root"))
 
 
-def across(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b, agree) between any two components of ``rooted`` (node, root) the one that agrees most."""
+def between_sets(pairs: DataFrame, seen: DataFrame, sets: DataFrame, whole: list[str]) -> DataFrame:
+    """``pairs`` (a, b) of texts as pairs of the entries in ``sets`` that stand for them."""
+    stands = seen.select(F.col("key").alias("node"), *whole).join(sets.select(*whole, "key"), whole).select("node", "key")
+    for end in ("a", "b"):
+        pairs = pairs.join(stands.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("key", end)
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, agree) whose ends are in different components ra and rb of ``rooted`` (node, root)."""
     for end in ("a", "b"):
         pairs = pairs.join(rooted.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-    ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-    apart = pairs.where(ra != rb).groupBy(F.least(ra, rb).alias("x"), F.greatest(ra, rb).alias("y"))
-    return apart.agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+    return pairs.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+
+
+def across(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b, agree) between any two components of ``rooted`` (node, root) the one that agrees most."""
+    best = apart(pairs, rooted).groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
+    return best.agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:

@@ -8,10 +8,9 @@ tallied; those that reach ``8 - d`` are verified by their differing bits. A list
 forest of its links, not all its pairs, and equal fingerprints are one entry.
 
 ``first_of_each`` takes documents whose five-word shingles have a Jaccard similarity of 0.8 or
-more. No number of differing bits follows from that, so it does not use the fingerprints: a
-prefix filter on the shingles finds every such pair, positions in the prefix rule out most
-others, and each pair is verified on the shingle sets. Components are formed of verified links
-alone; pairs that are in one component by then are not tested.
+more. The index proposes a partner for each text and these pairs are verified on the shingle sets.
+No number of differing bits follows from such a similarity, so an exact check follows for what the
+fingerprints leave apart (``minhash.similar_sets``); components are formed of verified links alone.
 """
 
 from __future__ import annotations
@@ -25,14 +24,10 @@ from pyspark.sql import functions as F
 
 from triagelens.llm.common import keyed, map_batches, read, released, rows_again, spread_width, stage
 from triagelens.llm.graph import components
-from triagelens.llm.rolling import Rolling, byte_values, bytes_of, chunked, mix, word_spans
+from triagelens.llm.minhash import similar_sets
+from triagelens.llm.rolling import bytes_of, chunked, word_spans
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Texts whose shingles are counted to put rare ones first, and the most counts kept.
-COUNTED, COMMON = 8000, 1 << 18
-#: All pairs of a list up to this long are tested at once; of a longer one, this many members with all others to begin with.
-SHORT, CENTRES = 16, 4
-HEAD = ["at", "key", "n", "pos"]
 #: A longer list is first split by one more byte position.
 BLOCK = 4096
 
@@ -199,217 +194,27 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found.join(names, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def distinct_grams(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of each distinct run of ``size`` words (fewer words: all), A-Z lowered, by text and hash."""
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    starts, ends, upto = word_spans(low, bounds)
-    roll = Rolling(Rolling(byte_values(0)[low], 0).at(starts, ends - starts), 1)
-    words = np.diff(upto)
-    count = np.where(words >= size, words - size + 1, np.minimum(words, 1))
-    doc = np.repeat(np.arange(len(words)), count)
-    first = np.arange(count.sum()) + np.repeat(upto[:-1] - (np.cumsum(count) - count), count)
-    grams = roll.at(first, np.minimum(size, words)[doc])
-    order = np.lexsort((grams, doc))
-    doc, grams = doc[order], grams[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
-    return doc[fresh], grams[fresh]
-
-
-def text_grams(size: int, batch: pa.RecordBatch):
-    """(first, last, text number, hash) of ``distinct_grams`` for a few texts of ``batch`` at a time."""
-    data, bounds = bytes_of(batch["text"])
-    for a, b in chunked(bounds, 1 << 20):
-        yield a, b, *distinct_grams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], size)
-
-
-def common_grams(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of the shingles seen in three or more of about ``COUNTED`` texts, and their counts.
-
-    They only order the shingles, so that rare ones come first and lists are short; any order finds all pairs.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for *_, grams in text_grams(size, batch):
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["at"])
-
-    share = min(1.0, COUNTED / max(1, rows.count()))
-    drawn = rows.select("key", "text").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = map_batches(drawn, run, "at long").groupBy("at").count().where("count > 2").orderBy(F.desc("count"), "at").limit(COMMON)
-    got = counts.toArrow()
-    at, n = got["at"].to_numpy().view(np.uint64), got["count"].to_numpy()
-    order = np.argsort(at)
-    return at[order], n[order]
+def fingerprint_pairs(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b), a < b: for each text of ``docs`` (key, doc_id, text) a linked one before it, if there is any.
 
-
-def shared_prefixes(rows: DataFrame, size: int, least: float) -> DataFrame:
-    """(at, key, n, pos): the shingles at the head of each of ``rows`` (key, text) that another text has at its head too.
-
-    Two sets of a Jaccard of ``least`` share one of the first ``n - ceil(least n) + 1`` shingles of
-    each, in any order that is the same for all; ``pos`` is the place in that order.
+    Equal fingerprints are linked with the first of them, others by the forests of the index.
     """
-    held = rows.sparkSession.sparkContext.broadcast(common_grams(rows, size))  # bounded by COMMON
-
-    def heads(batches):
-        common, seen = held.value
-        for batch in batches:
-            key = batch["key"].to_numpy()
-            for a, b, doc, grams in text_grams(size, batch):
-                count = np.zeros(len(grams), np.int64)
-                if len(common):
-                    k = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                    count = np.where(common[k] == grams, seen[k], 0)
-                order = np.lexsort((grams, count, doc))
-                n = np.bincount(doc, minlength=b - a)
-                pos = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-                head = pos < (n - np.ceil(least * n - 1e-6) + 1)[doc]
-                doc = doc[head]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(grams[order][head].view(np.int64)), pa.array(key[a + doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos[head].astype(np.int32)),
-                ], names=HEAD)
-
-    def shared(batches):
-        for rows, sizes in lists(batches, HEAD):
-            many = np.repeat(sizes > 1, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in rows], names=HEAD)
-
-    schema = "at long, key long, n int, pos int"
-    dealt = map_batches(rows.select("key", "text"), heads, schema).repartition(spread_width(rows.sparkSession), "at")
-    return stage(map_batches(dealt.sortWithinPartitions("at"), shared, schema), "heads")
-
-
-def lists(batches, names: list[str]):
-    """Columns of whole lists, of rows in the order of ``at``, the first of ``names``, and the size of each list."""
-    kept = None
-    for batch in batches:
-        now = [batch[c].to_numpy() for c in names]
-        if kept is not None:
-            now = [np.concatenate([x, y]) for x, y in zip(kept, now)]
-        new = np.flatnonzero(np.diff(now[0])) + 1
-        cut = new[-1] if len(new) else 0
-        kept = [x[cut:] for x in now]
-        if cut:
-            yield [x[:cut] for x in now], np.diff(np.concatenate([[0], new]))
-    if kept is not None and len(kept[0]):
-        yield kept, np.array([len(kept[0])])
-
-
-def untested(heads: DataFrame, most: int, least: float) -> DataFrame:
-    """(a, b): pairs of ``heads`` (at, key, root, n, pos) that share a list, have not one root and can reach ``least``.
-
-    A list of more than ``SHORT`` gives the pairs of ``most`` of its members with all others; if
-    that may leave some out there is a row of nulls.
-    """
-    names = ["at", "key", "root", "n", "pos"]
-
-    def run(batches):
-        for (_, key, root, n, pos), sizes in lists(batches, names):
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            number = np.repeat(np.arange(len(sizes)), sizes)
-            short = sizes[number] <= SHORT
-
-            def close(x, y):
-                # neither can share more than what follows the common shingle
-                return (root[x] != root[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) * (1 + least) >= least * (n[x] + n[y]) - 1e-6)
-
-            a, b, whole = [], [], True
-            for d in range(1, min(SHORT, int(sizes.max()))):
-                x = np.flatnonzero(short[:-d] & (number[:-d] == number[d:]))
-                x = x[close(x, x + d)]
-                a.append(x)
-                b.append(x + d)
-            first = np.cumsum(sizes) - sizes
-            for lo, size in zip(first[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
-                if (root[lo : lo + size] == root[lo]).all():
-                    continue
-                # the same ones are taken in all lists
-                order = lo + np.argsort(mix(key[lo : lo + size].view(np.uint64)), kind="stable")
-                for k, x in enumerate(order[:most].tolist()):
-                    y = order[k + 1 :]
-                    y = y[close(x, y)]
-                    a.append(np.full(len(y), x))
-                    b.append(y)
-                whole &= bool((root[order[most:]] == root[order[-1]]).all())
-            a, b = (key[np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)] for x in (a, b))
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            fresh = np.ones(len(a), bool)
-            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            out = [pa.array(x[fresh]) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays(out if whole else [pa.concat_arrays([x, pa.nulls(1, pa.int64())]) for x in out], names=["a", "b"])
-
-    dealt = heads.select(names).repartition(spread_width(heads.sparkSession), "at").sortWithinPartitions("at")
-    return stage(map_batches(dealt, run, "a long, b long").distinct(), "candidates")
-
-
-def verified(rows: DataFrame, found: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of ``found`` (a, b) whose texts in ``rows`` (key, text) have a Jaccard of ``least`` or more."""
-
-    def shingles(batches):
-        for batch in batches:
-            for a, b, doc, grams in text_grams(size, batch):
-                at = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["key"][a:b], pa.ListArray.from_arrays(pa.array(at), pa.array(grams.view(np.int64)))], names=["key", "grams"])
-
-    ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stage(map_batches(rows.select("key", "text").join(ends, "key", "left_semi"), shingles, "key long, grams array<long>"), "shingles")
-    pairs = found.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return stage(pairs.where(common >= F.lit(least) * (F.size("ga") + F.size("gb") - common)).select("a", "b"), "linked")
-
+    fps = stage(fingerprints(docs), "fingerprints")
+    first = fps.groupBy("fp").agg(F.min("key").alias("rep"))
+    same = fps.join(first, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    near = links(first.select("fp", F.col("rep").alias("key")), distance)
+    pairs = same.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
-def similar_classes(rows: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, root) for each of ``rows`` (key, text): components of texts whose ``size``-word shingles have a Jaccard of ``least``.
 
-    Equal texts (but for letter case and white space) are one entry; a text without words is linked to no other text.
-    """
-
-    def prints(batches):
-        for batch in batches:
-            data, bounds = bytes_of(batch["text"])
-            whole, n = [], []
-            for a, b in chunked(bounds, 1 << 20):
-                part = data[bounds[a] : bounds[b]]
-                low = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
-                starts, ends, upto = word_spans(low, bounds[a : b + 1] - bounds[a])
-                words = Rolling(byte_values(0)[low], 0).at(starts, ends - starts)
-                whole.append(Rolling(words, 1).at(upto[:-1], np.diff(upto)))
-                n.append(np.diff(upto))
-            yield pa.RecordBatch.from_arrays([
-                batch["key"], pa.array(np.concatenate([*whole, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*n, np.zeros(0, np.int64)])),
-            ], names=["key", "whole", "words"])
-
-    seen = stage(map_batches(rows.select("key", "text"), prints, "key long, whole long, words long"), "fingerprints")
-    texts = stage(seen.where("words > 0").groupBy("whole").agg(F.min("key").alias("rep")), "texts")
-    single = rows.select("key", "text").join(texts.select(F.col("rep").alias("key")), "key", "left_semi")
-    heads = shared_prefixes(single, size, least)
-    known, most, tested, linked = heads.withColumn("root", F.col("key")), CENTRES, None, None
-    while True:
-        found = untested(known, most, least)
-        fresh = found.where("a is not null")
-        fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
-        edges = verified(rows, fresh, size, least)
-        linked = edges if linked is None else linked.unionByName(edges)
-        rooted = components(linked)
-        if found.where("a is null").isEmpty():
-            break
-        # what is linked by now needs no more tests; of the rest, more members of long lists meet all others
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        known = heads.join(rooted, F.col("key") == F.col("node"), "left").select("at", "key", F.coalesce("root", "key").alias("root"), "n", "pos")
-        most *= 8
-    rooted = texts.join(rooted, F.col("rep") == F.col("node"), "left").select("whole", F.coalesce("root", "rep").alias("root"))
-    return seen.join(rooted, "whole", "left").select("key", F.when(F.col("words") > 0, F.col("root")).otherwise(F.col("key")).alias("root"))
-
-
-def first_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+def first_of_each(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
     """One row, the first by doc_id, of each class of similar texts; all columns as they are.
 
-    Null texts and texts without words all stay, as nothing is known of them.
+    Texts are linked if their distinct ``size``-word shingles have a Jaccard similarity of ``least``
+    percent or more. Null texts and texts without words all stay, as nothing is known of them.
     """
     rows = keyed(docs, rows=True)
-    kept = released(lambda: similar_classes(rows, size, least).where("key = root").select("key"), "kept")
+    kept = released(lambda: similar_sets(rows, size, least, fingerprint_pairs(rows)).where("key = root").select("key"), "kept")
     return rows_again(rows.join(kept, "key", "left_semi"), docs.columns)
 
 
