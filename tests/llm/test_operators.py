@@ -412,3 +412,11 @@ def test_empty_tables(spark, docs):
 
 def test_shape_of_short_windows():
     assert suffixes.shape_of(1) == Shape(1, (1,), False)
+
+
+def test_pairs_are_told_apart_as_by_unique():
+    rng = np.random.default_rng(3)
+    for top, n in ((1, 5), (300, 5000), (65536, 40000), (1 << 24, 3000), (5, 0), (1 << 23, 1)):
+        code = rng.integers(0, top, n) << 24 | rng.integers(0, top, n)
+        for got, want in zip(repair.distinct(code), np.unique(code, return_inverse=True, return_counts=True)):
+            assert np.array_equal(got, want)

@@ -35,6 +35,25 @@ LEAST = 12
 HEAD = struct.Struct("<4sIIIIQ")
 
 
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct values, the number of each place's value and the counts, as ``np.unique`` gives them.
+
+    Value and place are sorted as one number where they fit, several times as fast as sorting places by value.
+    """
+    right, place = int((code & 0xFFFFFF).max(initial=0)).bit_length(), len(code).bit_length()
+    if not len(code) or int((code >> 24).max()).bit_length() + right + place > 63:
+        return np.unique(code, return_inverse=True, return_counts=True)
+    both = ((code >> 24 << right | code & 0xFFFFFF) << place) | np.arange(len(code))
+    both.sort()
+    value, at = both >> place, both & (1 << place) - 1
+    first = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1])
+    count = np.diff(np.append(first, len(value)))
+    which = np.empty(len(code), np.int64)
+    which[at] = np.repeat(np.arange(len(first)), count)
+    value = value[first]
+    return value >> right << 24 | value & (1 << right) - 1, which, count
+
+
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST):
     """Symbols, symbol bounds of the documents and rules (pairs) of one shard.
 
@@ -56,7 +75,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, rounds: int = ROUND
         often = np.bincount(slot, minlength=0x100001) >= least
         often[0x100000] = False
         at = np.flatnonzero(often[slot])
-        pairs, which, count = np.unique(code[at], return_inverse=True, return_counts=True)
+        pairs, which, count = distinct(code[at])
         order = np.argsort(-count, kind="stable")[: room // (rounds - turn) if turn < rounds - 1 else room]
         order = order[count[order] >= least]
         if not len(order):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import os
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -77,23 +78,27 @@ class Encoder:
         self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        """Keep the ids of new units, given by ascending hash."""
+    def learn(self, at: np.ndarray, hashes: np.ndarray, units: list[str]) -> None:
+        """Keep the ids of new units, given by ascending hash and the place each takes among those known."""
         got = [e.ids for e in tokenizer(self.path).encode_batch_fast(units, add_special_tokens=False)]
-        at = np.searchsorted(self.hashes, hashes)
-        self.number = np.insert(self.number, at, len(self.ends) - 1 + np.arange(len(units)))
-        self.hashes = np.insert(self.hashes, at, hashes)
+        to = at + np.arange(len(at))
+        old = np.ones(len(self.hashes) + len(at), bool)
+        old[to] = False
+        for name, new in (("number", len(self.ends) - 1 + np.arange(len(units))), ("hashes", hashes)):
+            merged = np.empty(len(old), new.dtype)
+            merged[to] = new
+            merged[old] = getattr(self, name)
+            setattr(self, name, merged)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the sorted hashes, and whether it is there."""
         at = np.searchsorted(self.hashes, hashes)
         if not len(self.hashes):
             return at, np.zeros(len(hashes), bool)
-        at = np.minimum(at, len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        return at, self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, given as UTF-8 bytes in a row, and where each text's ids begin and the last ends."""
@@ -101,13 +106,17 @@ class Encoder:
             self.clear()
         starts = cuts(data, bounds)
         ends = np.append(starts[1:], len(data))
-        hashes, first, which = np.unique(Rolling(byte_values(0)[data], 0).at(starts, ends - starts), return_index=True, return_inverse=True)
+        hashes, which = np.unique(Rolling(byte_values(0)[data], 0).at(starts, ends - starts), return_inverse=True)
+        # any place of a unit will do; asking for the first one takes a slower sort
+        first = np.empty(len(hashes), np.int64)
+        first[which] = np.arange(len(which))
         at, known = self.find(hashes)
         if not known.all():
             raw = data.tobytes()
             new = first[~known]
-            self.learn(hashes[~known], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
-            at, _ = self.find(hashes)
+            self.learn(at[~known], hashes[~known], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            # each place moves up by the new ones before it
+            at = at + np.cumsum(~known) - ~known
         number = self.number[at][which]
         sizes = np.diff(self.ends)[number]
         before = np.concatenate([[0], np.cumsum(sizes)])
