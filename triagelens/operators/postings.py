@@ -7,16 +7,24 @@ divided by one plus the number of other words in the stretch. Positions count al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..functions.stems import is_stop, stem
-from ..session import stage, work_path
+from ..functions import tokens as TK
+from ..functions.stems import STOP_WORDS, is_stop, stem, stem_word
+from ..session import shuffle_width, stage, work_path
+from . import terms as TM
 from .retrieval import top_k
 
 WEIGHT = 0.1
 POSTINGS = "tenant_id string, section string, chunk_id string, term string, positions array<int>"
+#: Distinct tokens whose stems a task remembers.
+STEMS = 1 << 18
 
 
 def stem_dictionary(tokens: DataFrame) -> DataFrame:
@@ -24,25 +32,57 @@ def stem_dictionary(tokens: DataFrame) -> DataFrame:
     return tokens.select("token").distinct().where(~is_stop(F.col("token"))).withColumn("term", stem(F.col("token")))
 
 
-def token_positions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, token, positions) of the plain words of each text."""
-    at = df.select(*keys, F.posexplode(X.plain_tokens(F.col(text))).alias("pos", "token"))
-    return at.groupBy(*keys, "token").agg(F.collect_list("pos").alias("positions"))
+def _term_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``POSTINGS`` of the chunks of each part, sorted by tenant, term and chunk."""
+    known: dict[str, str | None] = {}
+
+    def term(word: str) -> str | None:
+        if word not in known:
+            known[word] = stem_word(word)
+        return known[word]
+
+    for part in TK.parts(batches, "text"):
+        if len(known) > STEMS or not known:
+            known.clear()
+            known.update(dict.fromkeys(STOP_WORDS))
+        rows, position, token, words = TK.tokens_of(part.column("text"))
+        names = [term(w) for w in words.to_pylist()]
+        terms = sorted({t for t in names if t is not None})
+        number = {t: i for i, t in enumerate(terms)}
+        at = np.array([number.get(t, -1) for t in names], np.int64)[token]
+        rows, position, at = rows[at >= 0], position[at >= 0], at[at >= 0]
+        ids = part.select(["tenant_id", "section", "chunk_id"])
+        order = pc.sort_indices(ids, [("tenant_id", "ascending"), ("chunk_id", "ascending")]).to_numpy()
+        tenants = ids.column("tenant_id").dictionary_encode()
+        rank = pc.rank(tenants.dictionary, tiebreaker="dense").to_numpy().astype(np.int64)
+        tenant = np.append(rank, 0)[tenants.indices.fill_null(len(rank)).to_numpy()]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        key = (tenant[rows] * len(terms) + at) * len(order) + place[rows]
+        # stable: places of a term in a chunk stay in their order
+        by_key = np.argsort(key, kind="stable")
+        key = key[by_key]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        of = by_key[heads]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)), pa.int32()), pa.array(position[by_key], pa.int32()))
+        owner = pa.array(rows[of])
+        yield pa.RecordBatch.from_arrays(
+            [*(ids.column(c).take(owner) for c in ids.schema.names), pa.array(terms, pa.string()).take(pa.array(at[of])), lists],
+            ["tenant_id", "section", "chunk_id", "term", "positions"])
 
 
 def build_postings(chunks: DataFrame, path: str | None = None) -> DataFrame:
-    """Store (tenant_id, section, chunk_id, term, positions) of every chunk, sorted by tenant and term.
+    """Store (tenant_id, section, chunk_id, term, positions) of every chunk, in stretches sorted by tenant and term.
 
-    Row groups of the stored table then hold few terms, so a search that names terms skips most
-    of it. ``path`` defaults to a new folder below the shared one; ``open_postings`` reads it again.
+    ``chunk_id`` is unique. A narrow step: words, stems and positions come from a text where it is read, and no word is
+    shuffled. Each stretch of some megabytes of text is sorted for itself, so a page of the stored table holds few terms
+    and a search that names terms can skip most of it. ``path`` defaults to a new folder below the shared one;
+    ``open_postings`` reads it again.
     """
     spark = chunks.sparkSession
     path = path or work_path(spark, "postings")
-    each = stage(token_positions(chunks, ["tenant_id", "section", "chunk_id"], "text_content"), "tokens")
-    terms = stage(stem_dictionary(each), "stems")
-    merged = each.join(terms, "token").groupBy("tenant_id", "section", "chunk_id", "term").agg(
-        F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    merged.repartitionByRange("tenant_id", "term", "chunk_id").sortWithinPartitions("tenant_id", "term", "chunk_id").write.mode("overwrite").parquet(path)
+    texts = chunks.select("tenant_id", "section", "chunk_id", TK.lowered(F.col("text_content")).alias("text"))
+    texts.mapInArrow(_term_positions, POSTINGS).write.mode("overwrite").parquet(path)
     return open_postings(spark, path)
 
 
@@ -52,7 +92,7 @@ def open_postings(spark: SparkSession, path: str) -> DataFrame:
 
 def request_terms(requests: DataFrame) -> DataFrame:
     """(request_id, tenant_id, scope, term): the distinct stems a request asks for."""
-    tokens = requests.select("request_id", "tenant_id", "scope", F.explode(F.array_distinct(X.plain_tokens(F.col("issue_text")))).alias("token"))
+    tokens = TM.request_tokens(requests, "token")
     return tokens.join(stem_dictionary(tokens), "token").select("request_id", "tenant_id", "scope", "term").distinct()
 
 
@@ -83,24 +123,14 @@ def cover_density(occurrences: Column, n: Column) -> Column:
 def cover_matches(requests: DataFrame, postings: DataFrame) -> DataFrame:
     """(request_id, chunk_id, cover_score) of all chunks of the scope that hold every term.
 
-    The rarest term of a request names the candidates; the other terms are looked up for these
-    alone. Frequencies are counted only for terms that some request asks for.
+    Positions are read only for the candidates of ``terms.candidates``.
     """
-    terms = stage(request_terms(requests), "request-terms")
-    asked = terms.select("tenant_id", "term").distinct()
-    used = postings.join(asked, ["tenant_id", "term"], "left_semi")
-    frequency = used.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = terms.join(frequency, ["tenant_id", "term"], "left")
-    rarest = weighed.groupBy("request_id", "tenant_id", "scope").agg(
-        F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n"), F.count("df").alias("known"),
-    ).where("known = n")
-    in_scope = F.col("scope").isNull() | (F.col("scope") == F.col("section"))
-    seeds = rarest.join(used.select("tenant_id", "term", "section", "chunk_id"), ["tenant_id", "term"]).where(in_scope).select("request_id", "tenant_id", "chunk_id", "n")
-    wanted = seeds.join(terms.select("request_id", "term"), "request_id")
-    hits = wanted.join(used.select("tenant_id", "term", "chunk_id", "positions"), ["tenant_id", "term", "chunk_id"])
-    lists = hits.groupBy("request_id", "chunk_id", "n").agg(F.collect_list("positions").alias("lists")).where(F.size("lists") == F.col("n"))
+    hits = TM.hits(stage(request_terms(requests), "request-terms"), postings, "positions")
+    # few bytes and much work a match: left to their size they would be dealt to one task
+    dealt = hits.repartition(shuffle_width(postings.sparkSession), "request_id", "chunk_id")
+    lists = dealt.groupBy("request_id", "chunk_id", "n_terms").agg(F.collect_list("positions").alias("lists")).where(F.size("lists") == F.col("n_terms"))
     pairs = F.flatten(F.transform("lists", lambda x, t: F.transform(x, lambda p: F.struct(p.alias("pos"), t.alias("term")))))
-    score = cover_density(F.array_sort(pairs), F.col("n").cast("int"))
+    score = cover_density(F.array_sort(pairs), F.col("n_terms").cast("int"))
     return lists.select("request_id", "chunk_id", F.round(score, 9).alias("cover_score"))
 
 
