@@ -41,27 +41,31 @@ def step_sums(events: DataFrame, watermark: str | None = None, step: int = STEP)
     return src.groupBy(F.window("ts", f"{step} seconds").alias("w"), "service").agg(*[c.alias(k) for k, c in _sums().items()], *buckets, breaker)
 
 
-def trailing_sums(partials: DataFrame, seconds: int, names: list[str], step: int = STEP) -> DataFrame:
-    """(at, service, names) where ``at`` is the window of ``seconds`` that ends at each step."""
-    w = F.window(F.window_time("w"), f"{seconds} seconds", f"{step} seconds").alias("at")
-    return partials.groupBy(w, "service").agg(*[F.sum(c).alias(c) for c in names])
+def trailing_sums(partials: DataFrame, seconds: dict[str, int], names: list[str], step: int = STEP) -> DataFrame:
+    """(at, service, {name}_{tag}): sums of the last ``seconds`` of each tag at the end ``at`` of every step.
+
+    One aggregate holds all lengths; one without a partial is null. A partial is repeated by an explode: a sliding window would be
+    a branch of generated code for each of its steps, which for a day of them is more than the compiler takes.
+    """
+    timed = partials.select(F.window_time("w").alias("t"), F.col("w.end").alias("end"), "service", *names)
+    ages = F.sequence(F.lit(0), F.lit(max(seconds.values()) - step), F.lit(step))
+    # the end of a step is event time as the time it is made from: it carries the same watermark
+    at = F.timestamp_seconds(F.unix_timestamp("end") + F.col("age")).alias("at", metadata=timed.schema["t"].metadata)
+    each = timed.select("*", F.explode(ages).alias("age")).select(at, "age", "service", *names)
+    return each.groupBy("at", "service").agg(
+        *[F.sum(F.when(F.col("age") < length, F.col(c))).alias(f"{c}_{tag}") for tag, length in seconds.items() for c in names])
 
 
 def drift_stream(events: DataFrame, watermark: str | None = None, step: int = STEP) -> DataFrame:
-    """Short against long trailing means: two chained windowed aggregates, joined on the time their windows end.
+    """Short against long trailing means: a windowed aggregate of partial sums, chained to one that holds both lengths.
 
-    ``window_time`` carries the watermark, so the join drops its state as time goes on.
+    Steps without an event in the short window have no row.
     """
-    names = ["n", "tokens", "confidence", "escalated"]
-    ends = []
-    for tag, seconds in (("s", H1), ("l", H24)):
-        sums = trailing_sums(step_sums(events, watermark, step), seconds, names, step)
-        means = [rate_ratio(F.col(c), F.col("n"), seconds).alias(f"{c}_{tag}") for c in names[1:]]
-        ends.append(sums.select(F.window_time("at").alias("t"), "service", F.col("at.end").alias("window_end"), *means).alias(tag))
-    short, long = ends
-    joined = short.join(long, (F.col("s.t") == F.col("l.t")) & (F.col("s.service") == F.col("l.service")))
-    return joined.select(
-        F.col("s.window_end"), F.col("s.service"), input_drift(F.col("tokens_s"), F.col("tokens_l")).alias("input_drift"),
+    names, seconds = ["n", "tokens", "confidence", "escalated"], {"s": H1, "l": H24}
+    sums = trailing_sums(step_sums(events, watermark, step).select("w", "service", *names), seconds, names, step).where("n_s > 0")
+    means = {f"{c}_{tag}": rate_ratio(F.col(f"{c}_{tag}"), F.col(f"n_{tag}"), length) for tag, length in seconds.items() for c in names[1:]}
+    return sums.withColumns(means).select(
+        F.col("at").alias("window_end"), "service", input_drift(F.col("tokens_s"), F.col("tokens_l")).alias("input_drift"),
         F.abs(F.col("confidence_s") - F.col("confidence_l")).alias("confidence_drift"), F.abs(F.col("escalated_s") - F.col("escalated_l")).alias("outcome_drift"))
 
 
